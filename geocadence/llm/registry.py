@@ -5,10 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = (
-    "packing", "line_dedup", "substring_dedup", "near_dedup", "mixing",
-    "token_counts", "fingerprints", "quality_rules", "quality_classifier", "url_filters",
-)
+MODULES = ("packing", "mixing", "fingerprints", "quality_rules", "url_filters")
 
 
 def _modules() -> list:
