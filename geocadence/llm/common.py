@@ -47,6 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table made by ``written`` as a relation of its own, for self-joins."""
+    back = df.sparkSession.read.schema(df.schema).parquet(df._scratch_path)
+    back._scratch_path = df._scratch_path
+    return back
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession
