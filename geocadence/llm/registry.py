@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("packing", "mixing", "fingerprints", "quality_rules", "url_filters")
+MODULES = (
+    "packing", "near_dedup", "mixing", "token_counts", "fingerprints",
+    "quality_rules", "quality_classifier", "url_filters",
+)
 
 
 def _modules() -> list:
