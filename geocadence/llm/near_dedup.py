@@ -89,6 +89,11 @@ def signatures(g: np.ndarray, row: np.ndarray, n: int, bins: int = BINS) -> np.n
     return out
 
 
+def short_values(sig: np.ndarray) -> np.ndarray:
+    """16 bits of each value, which is what is kept and compared."""
+    return (mix(sig.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n, bins = sig.shape
     x = np.broadcast_to(np.arange(bins // rows, dtype=np.uint64)[None, :] + np.uint64(1), (n, bins // rows)).copy()
@@ -113,7 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch({
                     "doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(np.diff(off).astype(np.int64)),
                     "k1": pa.array(as_i64(span_hash(h, a, b))), "k2": pa.array(as_i64(span_hash(h, a, b, OTHER_RADIX))),
-                    "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
+                    "sig": pa.array([x.tobytes() for x in short_values(sig)], pa.binary()),
                 })
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
@@ -129,7 +134,7 @@ def bucket_rows(nodes: DataFrame, bins: int, rows: int, only: tuple | None = Non
             if not batch.num_rows:
                 continue
             raw = batch.column("sig")
-            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, bins)
+            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, bins)
             keys = as_i64(band_keys(sig, rows))
             r = np.repeat(np.arange(len(keys)), keys.shape[1])
             flat = keys.reshape(-1)
@@ -197,7 +202,7 @@ def _alike(parts: list[pa.RecordBatch], bins: int, floor: float) -> pa.RecordBat
     t = pa.Table.from_batches(parts)
     ids, comp, mine = (t.column(c).to_numpy() for c in ("id", "component", "mine"))
     across = t.column("p")[0].as_py() != t.column("q")[0].as_py()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, bins)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, bins)
     a_out, b_out = [], []
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, len(ids))
@@ -210,16 +215,21 @@ def _alike(parts: list[pa.RecordBatch], bins: int, floor: float) -> pa.RecordBat
     return pa.record_batch({"a": pa.array(np.concatenate([none, *a_out])), "b": pa.array(np.concatenate([none, *b_out]))})
 
 
-def with_texts(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of ``texts`` (id, text) for the distinct ``ids`` (id); broadcasts them only below a checked count."""
-    ids = written(ids.distinct(), "wanted")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+def doc_texts(docs: DataFrame):
+    """A function from wanted ids to (id, text) rows; ids are broadcast only below a checked count."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct(), "wanted")
+        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+
+    return of
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sets, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def verified(pairs: DataFrame, texts, sets, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the similarity, intersected in full.
 
-    ``texts`` is (id, text); ``sets(column)`` gives hashes and offsets per row. Pairs are dealt by their
+    ``texts(ids)`` gives (id, text) rows; ``sets(column)`` gives hashes and offsets per row. Pairs are dealt by their
     centre in groups of bounded size, a centre with many partners over several groups, each with one
     copy of the centre's text.
     """
@@ -229,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, similar: tuple[int, int]
     shards = max(1, total // PAIRS_PER_GROUP)
     keyed = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS_PER_SALT)))
     keyed = written(keyed.select("a", "b", F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).alias("shard")), "dealt-pairs")
-    near = written(with_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts), "pair-texts")
+    near = written(texts(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "pair-texts")
     centres = keyed.select("shard", F.col("a").alias("id")).distinct().join(near, "id").select("shard", F.col("id").alias("a"), "text")
     members = reread(keyed).withColumnRenamed("b", "id").join(reread(near), "id").select("shard", "a", F.col("id").alias("b"), "text")
     up, down = similar
@@ -270,7 +280,7 @@ def _word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return g, off
 
 
-def linked(nodes: DataFrame, texts: DataFrame, sets, bins: int, rows: int, similar: tuple[int, int], floor: float = SKETCH_FLOOR) -> DataFrame:
+def linked(nodes: DataFrame, texts, sets, bins: int, rows: int, similar: tuple[int, int], floor: float = SKETCH_FLOOR) -> DataFrame:
     """(node, component) of all ``nodes`` (id, sig) that have a link."""
     pairs, shared, filter_ = star_pairs(nodes, bins, rows)
     links = written(verified(pairs, texts, sets, similar), "stars")
@@ -290,8 +300,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     sketch = written(sketches(docs), "sketches")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
-    label = linked(classes, texts, _word_sets, BINS, ROWS, SIMILAR)
+    label = linked(classes, doc_texts(docs), _word_sets, BINS, ROWS, SIMILAR)
     # a document with several texts joins their classes
     named = classes.select("k1", "k2", "id").join(label, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
