@@ -22,6 +22,7 @@ are not used.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, prefix_sums, slices, table, written
+from .common import BYTE_CODE, IS_SPACE, LOWER, Words, prefix_sums, slices, span_hash, table, written
 
 CAPACITY = 4096
 CLASSES = 256
@@ -40,67 +41,79 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CELL_ROWS = 100_000
 STREAM_BLOCK = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class Encoder:
-    """Ids of whole texts by way of their words: no id of this vocabulary crosses ASCII white space,
-    so each distinct word is encoded once (in a cache of bounded size) and its ids are laid out again."""
+    """Ids of whole texts by way of their chunks: no id of this vocabulary crosses ASCII white space, nor the
+    end of a run of letters before an ASCII character that is no letter, and A-Z count as a-z. So each
+    distinct chunk is encoded once (in a cache of bounded size) and its ids are laid out again."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16)
-        self.used = 0
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        for e, w in zip(self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False), words):
-            ids, k = e.ids, len(self.index)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
-            if k == len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[w] = k
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        lists = []
+        for i in range(0, len(words), 1000):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 1000], add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        total = int(size.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(lists), np.uint16, total)
+        at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.used += total
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, each text ended by END_ID, and the n+1 offsets of the texts."""
         w = Words(column)
-        if len(self.index) > CACHE_WORDS:
+        buf, start, end, row = w.buf, w.start, w.end, w.row
+        raw = buf.tobytes()
+        if b"OFTEXT|>" not in raw.upper():  # else words stay whole, for the vocabulary's own special strings
+            buf = LOWER[buf]
+            letter = (buf >= 97) & (buf <= 122)
+            cut = np.zeros(len(buf), bool)
+            cut[1:] = letter[:-1] & ~letter[1:] & (buf[1:] < 128) & ~IS_SPACE[buf[1:]]
+            cut = np.flatnonzero(cut)
+            start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+            row = np.searchsorted(w.off, start, "right") - 1
+            raw = buf.tobytes()
+        if len(self.keys) > CACHE_WORDS:
             self._reset()
-        h, order, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        raw = w.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start[order].tolist(), w.end[order].tolist())]
-        fresh = [x for x in words if x not in self.index]
-        if fresh:
-            self._learn(list(dict.fromkeys(fresh)))
-        code = np.fromiter((self.index[x] for x in words), np.int64, len(words))[back] if len(words) else np.zeros(0, np.int64)
-        size = self.size[code]
-        # the end ids stand after each text's words
-        slots = np.zeros(len(code) + w.n_rows, np.int64)
-        place = np.arange(len(code)) + w.row
-        slots[place] = size
-        end_at = w.first[1:] + np.arange(w.n_rows)
-        slots[end_at] = 1
-        off = np.zeros(len(slots) + 1, np.int64)
-        np.cumsum(slots, out=off[1:])
-        out = np.full(int(off[-1]), END_ID, np.uint16)
-        target = np.repeat(off[place] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(int(size.sum()))
-        origin = np.repeat(self.at[code] - (np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size), size) + np.arange(int(size.sum()))
-        out[target] = self.ids[origin]
+        keys, order, back = np.unique(span_hash(BYTE_CODE[buf], start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.keys):
+            fresh = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
+        if fresh.any():
+            first = order[fresh]
+            self._learn(keys[fresh], [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        at, size = self.at[place][back].astype(np.int64), self.size[place][back].astype(np.int64)
+        total = int(size.sum())
+        before = np.cumsum(size) - size
+        # the end id of text i stands after all ids of texts up to i and the i end ids before it
+        steps = np.arange(total)
+        out = np.full(total + w.n_rows, END_ID, np.uint16)
+        out[np.repeat(row, size) + steps] = self.ids[np.repeat(at - before, size) + steps]
         rows = np.zeros(w.n_rows + 1, np.int64)
-        rows[1:] = off[end_at + 1]
+        rows[1:] = np.cumsum(np.bincount(row, size, w.n_rows).astype(np.int64) + 1)
         return out, rows
 
 
@@ -114,10 +127,8 @@ PIECE_SCHEMA = "doc_id long, start long, length int, doc_tokens long, ids_crc32
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, classes: int = CLASSES, n_slices: int = SLICES) -> DataFrame:
     """One row per piece of at most ``capacity`` ids (unsigned 16-bit, little-endian, in ``ids``)."""
     width = capacity // classes
-    held: list[Encoder] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held[0] if held else Encoder(vocabulary)
+        encoder = Encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, off = encoder.encode(part.column("text"))
