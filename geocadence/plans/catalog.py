@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ()
-FLAGSHIP = "flagship"
+MODULES = ("expressions", "temporal")
+FLAGSHIP = "stm_by_month"
 
 
 def _gather(what: str) -> dict:
