@@ -22,7 +22,19 @@ SLICE_BYTES = 1 << 20
 _own_dir: str | None = None
 
 
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows: whole texts are long, and each executor core holds a few batches
+    outside the heap, on both sides of the socket. Never raises a smaller setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, keeps pruning."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
