@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("expressions", "temporal")
+MODULES = ("expressions", "temporal", "series")
 FLAGSHIP = "stm_by_month"
 
 

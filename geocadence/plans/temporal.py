@@ -46,15 +46,15 @@ _PSTATS = ("count", "mean", "std", "p25", "median", "p75", "iqr", "min", "max")
 def _by(by: str, table: str) -> None:
     key = f"stm_by_{by}"
     if table == "wide":
-        source, cte, value = (lambda s, d: wide(s, d).withColumn("value", F.col("nir"))), WIDE_SQL, "nir"
+        source, cte, value = (lambda s, d: wide(s, d).withColumn("value", F.sqrt("nir"))), WIDE_SQL, "sqrt(nir)"
     else:
         source, cte, value = observations, OBS_SQL, "value"
-    QUERIES[key] = lambda spark, d: rounded(temporal.temporal_metrics(source(spark, d), _PSTATS, by=by), ["pixel_id", "period"], _PSTATS, 9)
+    QUERIES[key] = lambda spark, d: rounded(temporal.temporal_metrics(source(spark, d), _PSTATS, by=by), ["pixel_id", "period"], _PSTATS, 8)
     top = {"quarter": 4, "month": 12, "week": 52, "doy": 365}.get(by)
     periods = f"SELECT CAST(unnest(range(1, {top} + 1)) AS INTEGER) AS period" if top else f"SELECT CAST(unnest(range(a, b + 1)) AS INTEGER) AS period FROM (SELECT min(year(ts)) AS a, max(year(ts)) AS b FROM {table})"
     ORACLE_SQL[key] = sql(cte, f"p AS ({periods})", f"k AS (SELECT DISTINCT pixel_id FROM {table})",
         f"g AS (SELECT pixel_id, CAST({_PERIOD_SQL[by]} AS INTEGER) AS period, {value} AS v FROM {table})",
-        select=f"SELECT k.pixel_id, p.period, {stats_sql("v", _PSTATS, digits=9)} FROM k CROSS JOIN p LEFT JOIN g ON g.pixel_id = k.pixel_id AND g.period = p.period GROUP BY ALL")
+        select=f"SELECT k.pixel_id, p.period, {stats_sql("v", _PSTATS, digits=8)} FROM k CROSS JOIN p LEFT JOIN g ON g.pixel_id = k.pixel_id AND g.period = p.period GROUP BY ALL")
 
 
 for _b, _t in (("year", "wide"), ("quarter", "wide"), ("month", "wide"), ("week", "obs"), ("doy", "obs")):
