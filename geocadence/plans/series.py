@@ -12,12 +12,12 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def _daily(spark, d):
-    """One value per pixel and day; days whose mean is from few observations are missing."""
-    o = observations(spark, d).groupBy("pixel_id", "ts").agg(F.round(F.avg("value"), 4).alias("v"), F.count("*").alias("n"))
+    """One value per pixel and day; a third of the days is missing."""
+    o = observations(spark, d).groupBy("pixel_id", "ts").agg(F.sqrt(F.round(F.sum("value"), 2) / F.count("value")).alias("v"))
     return o.select("pixel_id", "ts", F.when((F.col("pixel_id") + F.unix_date("ts")) % 3 != 0, F.col("v")).alias("value"))
 
 
-DAILY_SQL = "daily AS (SELECT pixel_id, ts, CASE WHEN (pixel_id + (ts - DATE '1970-01-01')) % 3 <> 0 THEN v END AS value FROM (SELECT pixel_id, ts, round(avg(value), 4) AS v FROM obs GROUP BY ALL))"
+DAILY_SQL = "daily AS (SELECT pixel_id, ts, CASE WHEN (pixel_id + (ts - DATE '1970-01-01')) % 3 <> 0 THEN v END AS value FROM (SELECT pixel_id, ts, sqrt(round(sum(value), 2) / count(value)) AS v FROM obs GROUP BY ALL))"
 
 
 def _fill(name, gap):
@@ -91,15 +91,15 @@ ORACLE_SQL["desawtooth_classes"] = sql(OBS_SQL, "o AS (SELECT pixel_id % 20 AS p
 
 for _kind, _part in (("month", "pixel_id, month(month)"), ("mean", "pixel_id")):
     _key = "monthly_anomaly" if _kind == "month" else "mean_anomaly"
-    QUERIES[_key] = lambda spark, d, k=_kind: series.anomaly(monthly(spark, d), k).select("pixel_id", "month", F.round("anomaly", 9).alias("anomaly"))
-    ORACLE_SQL[_key] = sql(MONTHLY_SQL, select=f"SELECT pixel_id, month, round(value - avg(value) OVER (PARTITION BY {_part}), 9) AS anomaly FROM monthly")
+    QUERIES[_key] = lambda spark, d, k=_kind: series.anomaly(monthly(spark, d), k).select("pixel_id", "month", F.round("anomaly", 7).alias("anomaly"))
+    ORACLE_SQL[_key] = sql(MONTHLY_SQL, select=f"SELECT pixel_id, month, round(value - avg(value) OVER (PARTITION BY {_part}), 7) AS anomaly FROM monthly")
 
 
 def _driver(spark, d):
-    return read(spark, d, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    return read(spark, d, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.sqrt(F.round(F.sum("o_totalprice"), 2) / F.count("o_totalprice")).alias("value"))
 
 
-DRIVER_SQL = "driver AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL)"
+DRIVER_SQL = "driver AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sqrt(round(sum(o_totalprice), 2) / count(o_totalprice)) AS value FROM orders GROUP BY ALL)"
 _PAIRS = """pairs AS (SELECT x.pixel_id, l.lag, year(x.month) * 12 + month(x.month) AS m, x.value AS a, y.value AS b FROM monthly x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) l
   JOIN driver y ON year(y.month) * 12 + month(y.month) + l.lag = year(x.month) * 12 + month(x.month))"""
 _CORR = """c AS (SELECT pixel_id, lag, corr(a, b) AS r, count(*) AS n, corr(a, pa) AS ra, corr(b, pb) AS rb FROM (

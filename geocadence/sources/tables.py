@@ -42,22 +42,22 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel_id, year, value: root of the mean price of a supplier and year; a few are missing."""
     x = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pixel_id"), F.year("l_shipdate").alias("year"))
     # a square root keeps sums and halves off the rounding points of a comparison
-    value = F.sqrt(F.round(F.avg("l_extendedprice"), 4))
+    value = F.sqrt(F.round(F.sum("l_extendedprice"), 2) / F.count("l_extendedprice"))
     return x.agg(value.alias("v")).select("pixel_id", "year", F.when((F.col("pixel_id") * 7 + F.col("year")) % 23 != 0, F.col("v")).alias("value"))
 
 
 ANNUAL_SQL = """annual AS (SELECT pixel_id, year, CASE WHEN (pixel_id * 7 + year) % 23 <> 0 THEN v END AS value FROM (
-  SELECT l_suppkey AS pixel_id, CAST(year(l_shipdate) AS INTEGER) AS year, sqrt(round(avg(l_extendedprice), 4)) AS v FROM lineitem GROUP BY ALL))"""
+  SELECT l_suppkey AS pixel_id, CAST(year(l_shipdate) AS INTEGER) AS year, sqrt(round(sum(l_extendedprice), 2) / count(l_extendedprice)) AS v FROM lineitem GROUP BY ALL))"""
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel_id, month (first day), value: root of the mean price of a supplier and month."""
     x = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pixel_id"), F.trunc("l_shipdate", "MM").alias("month"))
-    return x.agg(F.sqrt(F.round(F.avg("l_extendedprice"), 4)).alias("value"))
+    return x.agg(F.sqrt(F.round(F.sum("l_extendedprice"), 2) / F.count("l_extendedprice")).alias("value"))
 
 
 MONTHLY_SQL = """monthly AS (SELECT l_suppkey AS pixel_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
-  sqrt(round(avg(l_extendedprice), 4)) AS value FROM lineitem GROUP BY ALL)"""
+  sqrt(round(sum(l_extendedprice), 2) / count(l_extendedprice)) AS value FROM lineitem GROUP BY ALL)"""
 
 
 def grid(spark: SparkSession, sf_dir: str, width: int = 50) -> DataFrame:
