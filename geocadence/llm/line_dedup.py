@@ -31,7 +31,7 @@ ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
 SIMILAR = (80, 100)
 MIN_WORDS = 3
-SKETCH_FLOOR = 0.45
+SKETCH_FLOOR = 0.55
 
 
 def _lines(column: pa.Array) -> tuple:

@@ -7,8 +7,9 @@
 3. BANDS bands of ROWS values make buckets. In each bucket every class is paired with the smallest one
    (a star), so a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets.
 4. Components of the verified links. A star can miss a link between two members that are both unlike
-   its centre; so in every bucket that still spans several components, members of different components
-   whose signatures are alike are paired and verified too, in blocks, and components are made again.
+   its centre; so in buckets that still span several components, members outside the largest one are
+   paired with the most alike other one by signature, verified, and components are made again. At last
+   all alike pairs that still lie across components are verified inside their bucket's task, in blocks.
 
 With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6.
 
@@ -34,7 +35,8 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SIMILAR = (75, 100)
-SKETCH_FLOOR = 0.5
+# 4 standard deviations of a signature's likeness below the similarity
+SKETCH_FLOOR = 0.6
 PAIRS_PER_GROUP = 2000
 MEMBERS_PER_SALT = 256
 BLOCK = 1024
@@ -160,22 +162,26 @@ def star_pairs(nodes: DataFrame, bins: int, rows: int) -> tuple[DataFrame, DataF
     return two.unionByName(more).distinct(), shared, filter_
 
 
-def other_pairs(nodes: DataFrame, shared: DataFrame, filter_: tuple, label: DataFrame, bins: int, rows: int, floor: float = SKETCH_FLOOR) -> DataFrame:
-    """Pairs of one bucket in different components, neither its centre, whose signatures are alike.
-
-    Buckets of many members are split into blocks and each pair of blocks is a task of its own.
-    """
-    members = bucket_rows(nodes, bins, rows, filter_, with_sig=True)
+def open_buckets(nodes: DataFrame, shared: DataFrame, filter_: tuple, label: DataFrame, bins: int, rows: int) -> DataFrame:
+    """Buckets of three or more whose members are in several components: bucket, a (the centre), blocks."""
     known = bucket_rows(nodes, bins, rows, filter_).join(shared.where("n > 2").select("bucket", "a", "n"), "bucket")
     known = known.join(label, known.id == label.node, "left").select("bucket", "a", "n", F.coalesce("component", "id").alias("component"))
     spread = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"), F.max("a").alias("a"))
-    spread = written(spread.where("lo < hi").select("bucket", "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
-    if not spread.head(1):
-        return shared.select("a", F.col("a").alias("b")).where("false")
-    rows_ = members.join(spread, "bucket").where("id <> a").join(label, F.col("id") == label.node, "left")
-    rows_ = rows_.select("bucket", "id", "sig", "blocks", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
-    rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows_ = rows_.withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other"))
+    return written(spread.where("lo < hi").select("bucket", "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+
+
+def _open_members(nodes: DataFrame, spread: DataFrame, label: DataFrame, bins: int, rows: int) -> DataFrame:
+    """bucket, p, q, id, component, mine, sig of the members of open buckets but their centres. Buckets of many
+    members are split into blocks, and each pair of blocks (p, q) is dealt on its own."""
+    members = bucket_rows(nodes, bins, rows, bloom_bits(spread, "bucket"), with_sig=True)
+    out = members.join(spread, "bucket").where("id <> a").join(label, F.col("id") == label.node, "left")
+    out = out.select("bucket", "id", "sig", "blocks", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", "component", "mine", "sig")
+
+
+def _by_group(kernel):
+    """A function over batches sorted by (bucket, p, q) that gives each group's rows to ``kernel`` as one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,32 +193,87 @@ def other_pairs(nodes: DataFrame, shared: DataFrame, filter_: tuple, label: Data
             cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for a, b in zip(cut, cut[1:]):
                 if keys[a] != last and held:
-                    yield _alike(held, bins, floor)
+                    yield kernel(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 last = keys[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield _alike(held, bins, floor)
+            yield kernel(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
-    dealt = rows_.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return dealt.select("bucket", "p", "q", "id", "component", "mine", "sig").mapInArrow(run, "a long, b long").distinct()
 
+def best_pairs(nodes: DataFrame, spread: DataFrame, label: DataFrame, bins: int, rows: int, floor: float) -> DataFrame:
+    """Each member outside the largest component of an open bucket with the most alike member of another one."""
+    dealt = _open_members(nodes, spread, label, bins, rows).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return dealt.mapInArrow(_by_group(lambda t: _most_alike(t, bins, floor)), "a long, b long").distinct()
 
-def _alike(parts: list[pa.RecordBatch], bins: int, floor: float) -> pa.RecordBatch:
-    t = pa.Table.from_batches(parts)
-    ids, comp, mine = (t.column(c).to_numpy() for c in ("id", "component", "mine"))
-    across = t.column("p")[0].as_py() != t.column("q")[0].as_py()
+
+def _columns(t: pa.Table, bins: int) -> tuple:
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, bins)
-    a_out, b_out = [], []
+    return t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("mine").to_numpy(), t.column("p")[0].as_py() != t.column("q")[0].as_py(), sig
+
+
+def _most_alike(t: pa.Table, bins: int, floor: float) -> pa.RecordBatch:
+    ids, comp, mine, across, sig = _columns(t, bins)
+    kinds, size = np.unique(comp, return_counts=True)
+    main = kinds[np.argmax(size)]
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(comp != main):
+        ok = comp != comp[i]
+        if across:
+            ok &= mine != mine[i]
+        like = np.where(ok, (sig == sig[i]).mean(axis=1), -1.0)
+        j = int(np.argmax(like))
+        if like[j] >= floor:
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
+def last_links(nodes: DataFrame, spread: DataFrame, label: DataFrame, texts, sets, bins: int, rows: int, floor: float, similar: tuple[int, int]) -> DataFrame:
+    """Links across components inside the buckets that are still open, verified where the bucket's members meet.
+
+    Members bring their texts, so no pair ever becomes a row: only links leave a task, and of those only what
+    joins two of its components.
+    """
+    members = written(_open_members(nodes, spread, label, bins, rows), "open-members")
+    near = written(texts(members.select("id")), "open-texts")
+    full = reread(members).join(near, "id").select("bucket", "p", "q", "id", "component", "mine", "sig", "text")
+    dealt = full.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return dealt.mapInArrow(_by_group(lambda t: _verified_inside(t, sets, bins, rows, floor, similar)), "a long, b long").distinct()
+
+
+def _verified_inside(t: pa.Table, sets, bins: int, rows: int, floor: float, similar: tuple[int, int]) -> pa.RecordBatch:
+    ids, comp, mine, across, sig = _columns(t, bins)
+    up, down = similar
+    found = np.flatnonzero(as_i64(band_keys(sig[:1], rows))[0] == t.column("bucket")[0].as_py())
+    band = int(found[0]) if len(found) else 0
+    own: list[np.ndarray] | None = None
+    group = comp.copy()
+    out: list[tuple[int, int]] = []
     for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        j = j[(comp[j] != comp[i]) & ((mine[j] != mine[i]) if across else True)]
-        if len(j):
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= floor]
-            a_out.append(np.minimum(ids[i], ids[j]))
-            b_out.append(np.maximum(ids[i], ids[j]))
-    none = np.zeros(0, np.int64)
-    return pa.record_batch({"a": pa.array(np.concatenate([none, *a_out])), "b": pa.array(np.concatenate([none, *b_out]))})
+        ok = group[i + 1 :] != group[i]
+        if across:
+            ok &= mine[i + 1 :] != mine[i]
+        j = np.flatnonzero(ok) + i + 1
+        if not len(j):
+            continue
+        same = sig[j] == sig[i]
+        # a pair is looked at in the first band that it shares
+        early = same[:, : band * rows].reshape(len(j), band, rows).all(axis=2).any(axis=1) if band else np.zeros(len(j), bool)
+        for k in j[(same.mean(axis=1) >= floor) & ~early]:
+            if group[k] == group[i]:
+                continue
+            if own is None:
+                own = [x for part in _parts(t) for x in _split(*sets(part.column("text")))]
+            x, y = own[i], own[k]
+            if min(len(x), len(y)) * down < up * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if down * both >= up * (len(x) + len(y) - both):
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                group[group == group[k]] = group[i]
+    return pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def doc_texts(docs: DataFrame):
@@ -239,7 +300,7 @@ def verified(pairs: DataFrame, texts, sets, similar: tuple[int, int] = SIMILAR)
     shards = max(1, total // PAIRS_PER_GROUP)
     keyed = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS_PER_SALT)))
     keyed = written(keyed.select("a", "b", F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).alias("shard")), "dealt-pairs")
-    near = written(texts(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "pair-texts")
+    near = written(texts(pairs.select(F.col("a").alias("id")).unionByName(reread(pairs).select(F.col("b").alias("id")))), "pair-texts")
     centres = keyed.select("shard", F.col("a").alias("id")).distinct().join(near, "id").select("shard", F.col("id").alias("a"), "text")
     members = reread(keyed).withColumnRenamed("b", "id").join(reread(near), "id").select("shard", "a", F.col("id").alias("b"), "text")
     up, down = similar
@@ -281,18 +342,23 @@ def _word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(nodes: DataFrame, texts, sets, bins: int, rows: int, similar: tuple[int, int], floor: float = SKETCH_FLOOR) -> DataFrame:
-    """(node, component) of all ``nodes`` (id, sig) that have a link."""
+    """(node, component) of all ``nodes`` (id, sig) that have a link: stars, then the most alike pairs across
+    components, which join most of what belongs together, then all alike pairs that are still apart."""
     pairs, shared, filter_ = star_pairs(nodes, bins, rows)
     links = written(verified(pairs, texts, sets, similar), "stars")
     label = written(components(links), "labels")
-    rest = written(other_pairs(nodes, shared, filter_, label, bins, rows, floor), "rest-pairs")
-    if not rest.head(1):
-        return label
-    more = written(verified(rest, texts, sets, similar), "more-links")
-    if not more.head(1):
-        return label
-    known = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return written(components(known.unionByName(more)), "labels")
+    for last in (False, True):
+        spread = open_buckets(nodes, shared, filter_, label, bins, rows)
+        if not spread.head(1):
+            break
+        if last:
+            more = written(last_links(nodes, spread, label, texts, sets, bins, rows, floor, similar), "last-links")
+        else:
+            more = written(verified(best_pairs(nodes, spread, label, bins, rows, floor), texts, sets, similar), "more-links")
+        if more.head(1):
+            known = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            label = written(components(known.unionByName(more)), "labels")
+    return label
 
 
 def components_of(docs: DataFrame) -> DataFrame:
