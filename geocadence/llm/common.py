@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _own_dir: str | None = None
 
 
-ARROW_ROWS = 500
+ARROW_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -54,7 +54,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a writer buffers one per task
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
@@ -115,8 +116,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[lo:hi], offsets - lo
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, next to the executor's heap."""
+    global _libc
+    if _libc is None:
+        import ctypes
+
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+_libc = None
+_since = 0
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes, so that work arrays stay small."""
+    global _since
     _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     n, at = batch.num_rows, 0
     while at < n:
@@ -124,6 +145,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = min(n, max(at + 1, end), at + 50_000)
         yield batch.slice(at, end - at)
         at = end
+    _since += 1
+    if _since % 8 == 0:
+        give_back()
 
 
 # ---------------------------------------------------------------- hashing

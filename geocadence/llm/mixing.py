@@ -86,10 +86,10 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
 
 
 def plan(docs: DataFrame, tokens: Column | None = None, *, share=SHARE, weights=WEIGHTS, max_epochs=MAX_EPOCHS, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, plus the columns named in ``keep``."""
+    """One row per document: doc_id, source, size, source_size, target, taken; with ``keep``, a struct _row of those columns."""
     spark = docs.sparkSession
     size = word_count(F.col(text)) if tokens is None else tokens
-    own = [c for c in keep if c not in (doc_id, source)]
+    own = [F.struct(*keep).alias("_row")] if keep else []
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("_key"), *own)
     # whole texts are not carried into the ordering unless asked for; sizes are read twice, so they are written
     sized = written(sized, "mix-sizes")
@@ -119,7 +119,7 @@ def plan(docs: DataFrame, tokens: Column | None = None, *, share=SHARE, weights=
     return (
         dealt.withColumn("_before", before)
         .withColumn("taken", (passes * F.col("size") + partly).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", *own)
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *["_row"][: len(own)])
     )
 
 
@@ -132,9 +132,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     planned = plan(docs, keep=tuple(cols), **options)
     left = F.col("taken") - F.col("_pass") * F.col("size")
     passes = planned.where(F.col("taken") > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    cut = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda x: x != ""), F.lit(1), left.cast("int")), " ")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut)
-    out = passes.withColumn("text", text)
+    text = F.col("_row")["text"]
+    cut = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda x: x != ""), F.lit(1), left.cast("int")), " ")
+    out = passes.select(*[F.col("_row")[c].alias(c) for c in cols if c != "text"], F.when(left >= F.col("size"), text).otherwise(cut).alias("text"))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*cols)

@@ -7,13 +7,14 @@ with a smaller doc_id.
    Consecutive windows with one key form a stretch; equal windows lie in stretches of one key.
    A first pass takes the least and greatest doc_id per key (combined before the shuffle); only keys
    of at least two documents matter. A Bloom filter of bounded size tells the second pass which.
-2. The stretches of those keys are the references. Equal stretches are one, with the least doc_id.
+2. The stretches of those keys are the references, cut also where a second key of the window changes, so
+   that a passage gives the same stretches in any context. Equal stretches are one, with the least doc_id.
    They are dealt to shards by key. A shard's task builds the suffix automaton of its stretches per key,
    each state with the least doc_id of the texts it occurs in, and streams the stretches through it:
    the state of the longest match, cut back to WINDOW words, gives each window's least doc_id.
    A key with a single distinct stretch needs no automaton: it is its own only match.
    A key with more than KEY_STRETCHES distinct stretches would be a hot group for one task; its windows
-   are dealt by a second key of their own (the hash of the whole window), as one-window stretches.
+   are dealt one by one, by the hash of the whole window, and only those seen in two documents meet again.
 3. Documents learn which of their windows have a smaller least doc_id, and drop the covered words.
 
 The automata go to where a shard's stretches meet rather than by broadcast: what repeats in a corpus
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_i64, bloom_bits, bloom_has, grams, reread, slices, span_hash, table, written
+from .common import Words, as_i64, bloom_bits, bloom_has, grams, mix, reread, shuffle_partitions, slices, span_hash, table, written
 
 WINDOW = 50
 GRAM = 10
@@ -43,9 +44,11 @@ KEY_STRETCHES = 200
 OTHER_RADIX = 0xD1342543DE82EF95 | 1
 
 
-def window_keys(w: Words, h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(key, first word) of every window of a slice of texts: the least gram hash inside."""
+def window_keys(w: Words, h: np.ndarray, window: int = WINDOW, gram: int = GRAM, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first word) of every window of a slice of texts: the least gram hash inside, in one of two orders."""
     g, at = grams(h, w.row, gram)
+    if second:
+        g = mix(g + np.uint64(OTHER_RADIX))
     span = window - gram + 1
     if len(g) < span:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -60,12 +63,15 @@ def window_keys(w: Words, h: np.ndarray, window: int = WINDOW, gram: int = GRAM)
     return low[whole], at[:n][whole]
 
 
-def stretches(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last+1 window of each run of consecutive windows with one key."""
+def stretches(key: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 window of each run of consecutive windows with one key (and one second key)."""
     if not len(key):
         none = np.zeros(0, np.int64)
         return none, none
-    cut = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)) + 1
+    new = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
+    if second is not None:
+        new |= second[1:] != second[:-1]
+    cut = np.flatnonzero(new) + 1
     return np.concatenate([[0], cut]), np.append(cut, len(key))
 
 
@@ -95,7 +101,7 @@ def stretch_rows(docs: DataFrame, wanted: tuple, window: int, gram: int) -> Data
                 w = Words(part.column("text"))
                 h = w.hash
                 key, at = window_keys(w, h, window, gram)
-                lo, hi = stretches(key, at)
+                lo, hi = stretches(key, at, window_keys(w, h, window, gram, second=True)[0])
                 hit = bloom_has(held.value, key[lo].view(np.int64)) if len(lo) else np.zeros(0, bool)
                 lo, hi = lo[hit], hi[hit]
                 a, b = at[lo], at[hi - 1] + window if len(lo) else at[lo]
@@ -207,8 +213,8 @@ def _shard_windows(t: pa.Table, window: int) -> pa.Table:
     return pa.table({"key": t.column("key"), "c1": t.column("c1"), "c2": t.column("c2"), "least": pa.array(least, pa.list_(pa.int64()))})
 
 
-def _single_windows(window: int):
-    """Stretches of hot keys as one-window stretches, keyed by the whole window."""
+def _single_windows(window: int, only=None):
+    """Windows of the stretches of hot keys, keyed by the whole window; or only those a Bloom filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,9 +225,13 @@ def _single_windows(window: int):
                 of = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 a = w.first[of] + place
+                w1 = as_i64(span_hash(h, a, a + window))
+                if only is not None:
+                    hit = bloom_has(only.value, w1)
+                    of, place, a, w1 = of[hit], place[hit], a[hit], w1[hit]
                 take = pa.array(of)
                 yield pa.record_batch({
-                    "w1": pa.array(as_i64(span_hash(h, a, a + window))), "w2": pa.array(as_i64(span_hash(h, a, a + window, OTHER_RADIX))),
+                    "w1": pa.array(w1), "w2": pa.array(as_i64(span_hash(h, a, a + window, OTHER_RADIX))),
                     "key": part.column("key").take(take), "c1": part.column("c1").take(take), "c2": part.column("c2").take(take),
                     "doc_id": part.column("doc_id").take(take), "place": pa.array(place.astype(np.int32)),
                 })
@@ -243,11 +253,19 @@ def removable(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     shards = max(1, int(total) // SHARD_WORDS)
     least = usual.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard_windows(t, window), "key long, c1 long, c2 long, least array<long>")
     if some_hot:
-        single = reread(distinct).join(hot, "key", "left_semi").mapInArrow(_single_windows(window), "w1 long, w2 long, key long, c1 long, c2 long, doc_id long, place int")
-        single = written(single, "hot-windows")
-        first = reread(single).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-        hot_least = single.join(first, ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("l"))
-        least = least.unionByName(hot_least.select("key", "c1", "c2", F.col("l.least").alias("least")))
+        # a hot key's stretches are spread over all tasks
+        stock = written(reread(distinct).join(hot, "key", "left_semi"), "hot-stretches")
+        even = lambda: reread(stock).repartition(shuffle_partitions(docs.sparkSession), "c1", "c2")
+        schema = "w1 long, w2 long, key long, c1 long, c2 long, doc_id long, place int"
+        seen = even().mapInArrow(_single_windows(window), schema).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        twice = written(seen.where("least < most").select("w1", "w2", "least"), "hot-windows")
+        only = docs.sparkSession.sparkContext.broadcast(bloom_bits(twice, "w1"))
+        met = even().mapInArrow(_single_windows(window, only), schema).join(reread(twice), ["w1", "w2"]).where("least < doc_id")
+        # least doc_ids by place; at any other place the stretch's own least doc_id is the least
+        smaller = met.groupBy("key", "c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("place", "least"))).alias("m"))
+        each = reread(stock).select("key", "c1", "c2", "doc_id", "n").join(smaller, ["key", "c1", "c2"], "left")
+        places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.col("doc_id")))
+        least = least.unionByName(each.select("key", "c1", "c2", places.alias("least")))
     # a stretch whose every window starts first in its own document removes nothing from it
     got = rows.drop("words", "n").join(least, ["key", "c1", "c2"]).where(F.array_min("least") < F.col("doc_id"))
     # covered spans, merged where windows overlap; the rest of a document's spans come from its other stretches

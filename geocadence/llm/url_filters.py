@@ -187,7 +187,7 @@ def listed_column(rows: DataFrame, key: str, universe: DataFrame, out: str = "li
 
     def meet(rows_: pa.Table, filters: pa.Table) -> pa.Table:
         f = filters.to_pylist()
-        levels = {x["shard"]: _levels(x["bits"], x["hashes"], x["data"]) for x in f}
+        levels = {x["_uf_shard"]: _levels(x["bits"], x["hashes"], x["data"]) for x in f}
         return answered(rows_.select(names), levels)
 
     return (
