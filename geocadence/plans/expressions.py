@@ -12,8 +12,8 @@ QUERIES, ORACLE_SQL = {}, {}
 
 def _index(name: str, expression: str) -> None:
     key = f"{name.lower()}_index"
-    QUERIES[key] = lambda spark, d: spectral.compute_indices(wide(spark, d), [name]).select("seq", F.round(name, 6).alias("index_value"))
-    ORACLE_SQL[key] = sql(WIDE_SQL, select=f"SELECT seq, round({expression}, 6) AS index_value FROM wide")
+    QUERIES[key] = lambda spark, d: spectral.compute_indices(wide(spark, d), [name]).select("seq", F.round(name, 9).alias("index_value"))
+    ORACLE_SQL[key] = sql(WIDE_SQL, select=f"SELECT seq, round({expression}, 9) AS index_value FROM wide")
 
 
 def _nd(a: str, b: str) -> str:
@@ -35,9 +35,9 @@ def _linear(weights) -> str:
 for _table, _rows in spectral.TASSELED_CAP.items():
     _b, _g, _w = (_linear(_rows[c]) for c in ("brightness", "greenness", "wetness"))
     QUERIES[f"tasseled_cap_{_table}"] = lambda spark, d, t=_table: spectral.tasseled_cap(wide(spark, d), t).select(
-        "seq", *[F.round(c, 6).alias(c) for c in ("brightness", "greenness", "wetness", "disturbance")]
+        "seq", *[F.round(c, 12).alias(c) for c in ("brightness", "greenness", "wetness", "disturbance")]
     )
-    ORACLE_SQL[f"tasseled_cap_{_table}"] = sql(WIDE_SQL, select=f"SELECT seq, round({_b}, 6) AS brightness, round({_g}, 6) AS greenness, round({_w}, 6) AS wetness, round({_b} - {_g} - {_w}, 6) AS disturbance FROM wide")
+    ORACLE_SQL[f"tasseled_cap_{_table}"] = sql(WIDE_SQL, select=f"SELECT seq, round({_b}, 12) AS brightness, round({_g}, 12) AS greenness, round({_w}, 12) AS wetness, round({_b} - {_g} - {_w}, 12) AS disturbance FROM wide")
 
 
 def normalized_difference(spark, d):
@@ -95,14 +95,20 @@ ORACLE_SQL["unmix_linear_ndfi"] = _unmix_sql()
 
 # ---------------------------------------------------------------- quality
 
-_CODE, _CODE_SQL = F.col("seq") * 7919 % 1024, "(seq * 7919 % 1024)"
+_CODE_SQL = "(seq * 7919 % 1024)"
+
+
+def _code():
+    return F.col("seq") * 7919 % 1024
+
+
 _MASKS = {
     "fmask": "c IN (0, 1)", "landsat_c2": "c & 59 = 0", "nonzero": "c <> 0", "scl": "c IN (4, 5, 6)",
     "hls_fmask": "c <> 255 AND c & 30 = 0", "force": "c & 799 = 0",
 }
 for _rule, _test in _MASKS.items():
     _mod = 13 if _rule in ("fmask", "scl") else 1024
-    QUERIES[f"qa_{_rule}"] = lambda spark, d, r=_rule, m=_mod: observations(spark, d).select("seq", quality.qa_mask(_CODE % m, r).alias("usable"))
+    QUERIES[f"qa_{_rule}"] = lambda spark, d, r=_rule, m=_mod: observations(spark, d).select("seq", quality.qa_mask(_code() % m, r).alias("usable"))
     ORACLE_SQL[f"qa_{_rule}"] = sql(OBS_SQL, f"q AS (SELECT seq, {_CODE_SQL} % {_mod} AS c FROM obs)", select=f"SELECT seq, ({_test}) AS usable FROM q")
 
 _FMASKS = {
@@ -113,7 +119,7 @@ _FMASKS = {
 }
 for _rule, _case in _FMASKS.items():
     _mod = 13 if _rule == "scl" else 1024
-    QUERIES[f"qa_to_fmask_{_rule}"] = lambda spark, d, r=_rule, m=_mod: observations(spark, d).select("seq", quality.qa_to_fmask(_CODE % m, r).alias("fmask"))
+    QUERIES[f"qa_to_fmask_{_rule}"] = lambda spark, d, r=_rule, m=_mod: observations(spark, d).select("seq", quality.qa_to_fmask(_code() % m, r).alias("fmask"))
     ORACLE_SQL[f"qa_to_fmask_{_rule}"] = sql(OBS_SQL, f"q AS (SELECT seq, {_CODE_SQL} % {_mod} AS c FROM obs)", select=f"SELECT seq, CAST(CASE {_case} ELSE 0 END AS INTEGER) AS fmask FROM q")
 
 QUERIES["modis_summary_weight"] = lambda spark, d: observations(spark, d).select("seq", quality.modis_summary_weight(F.col("qa") % 6 - 1).alias("weight"))
@@ -128,7 +134,7 @@ ORACLE_SQL["modis_state_weight"] = sql(
 )
 QUERIES["scl_weight"] = lambda spark, d: observations(spark, d).select("seq", quality.scl_weight(F.col("qa") % 14 - 1).alias("weight"))
 ORACLE_SQL["scl_weight"] = sql(OBS_SQL, select="SELECT seq, CAST(CASE WHEN c IN (4, 5) THEN 1 WHEN c IN (6, 7) THEN 0.5 WHEN c IN (2, 3, 8, 9, 10, 11) THEN 0.2 ELSE 0 END AS DOUBLE) AS weight FROM (SELECT seq, qa % 14 - 1 AS c FROM obs)")
-QUERIES["stac_clear"] = lambda spark, d: observations(spark, d).select("seq", quality.stac_clear(_CODE % 13, "scl").alias("scl_clear"), quality.stac_clear(_CODE, "qa_pixel").alias("landsat_clear"))
+QUERIES["stac_clear"] = lambda spark, d: observations(spark, d).select("seq", quality.stac_clear(_code() % 13, "scl").alias("scl_clear"), quality.stac_clear(_code(), "qa_pixel").alias("landsat_clear"))
 ORACLE_SQL["stac_clear"] = sql(OBS_SQL, f"q AS (SELECT seq, {_CODE_SQL} AS c FROM obs)", select="SELECT seq, c % 13 IN (4, 5, 6, 7, 11) AS scl_clear, (c & 31 = 0 AND c & 64 <> 0) AS landsat_clear FROM q")
 
 
