@@ -42,7 +42,7 @@ def _zones(spark):
 
 QUERIES["rasterize"] = lambda spark, d: r.rasterize(grid(spark, d), _zones(spark))
 _EDGES = ", ".join(f"({z}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for z, ring in _RINGS.items() for a, b in zip(ring, ring[1:]))
-ORACLE_SQL["rasterize"] = sql(GRID_SQL, f"e(z, ax, ay, bx, by) AS (VALUES {_EDGES})", "h AS (SELECT y, x, z, count(*) AS n FROM grid CROSS JOIN e WHERE (ay > y + 0.5) <> (by > y + 0.5) AND x + 0.5 < (bx - ax) * (y + 0.5 - ay) / (by - ay) + ax GROUP BY ALL)",
+ORACLE_SQL["rasterize"] = sql(GRID_SQL, f"e(z, ax, ay, cx, cy) AS (VALUES {_EDGES})", "h AS (SELECT y, x, z, count(*) AS n FROM grid CROSS JOIN e WHERE (ay > y + 0.5) <> (cy > y + 0.5) AND x + 0.5 < (cx - ax) * (y + 0.5 - ay) / (cy - ay) + ax GROUP BY ALL)",
     select="SELECT y, x, max(z) AS zone FROM h WHERE n % 2 = 1 GROUP BY ALL")
 
 
