@@ -214,7 +214,8 @@ def _shard_windows(t: pa.Table, window: int) -> pa.Table:
 
 
 def _single_windows(window: int, only=None):
-    """Windows of the stretches of hot keys, keyed by the whole window; or only those a Bloom filter holds."""
+    """Windows of the stretches of hot keys by their hashes, with doc_id; or only those a Bloom filter holds, with
+    the stretch and place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +231,9 @@ def _single_windows(window: int, only=None):
                     hit = bloom_has(only.value, w1)
                     of, place, a, w1 = of[hit], place[hit], a[hit], w1[hit]
                 take = pa.array(of)
+                if only is None:
+                    yield pa.record_batch({"w1": pa.array(w1), "w2": pa.array(as_i64(span_hash(h, a, a + window, OTHER_RADIX))), "doc_id": part.column("doc_id").take(take)})
+                    continue
                 yield pa.record_batch({
                     "w1": pa.array(w1), "w2": pa.array(as_i64(span_hash(h, a, a + window, OTHER_RADIX))),
                     "key": part.column("key").take(take), "c1": part.column("c1").take(take), "c2": part.column("c2").take(take),
@@ -257,7 +261,7 @@ def removable(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
         stock = written(reread(distinct).join(hot, "key", "left_semi"), "hot-stretches")
         even = lambda: reread(stock).repartition(shuffle_partitions(docs.sparkSession), "c1", "c2")
         schema = "w1 long, w2 long, key long, c1 long, c2 long, doc_id long, place int"
-        seen = even().mapInArrow(_single_windows(window), schema).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        seen = even().mapInArrow(_single_windows(window), "w1 long, w2 long, doc_id long").groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         twice = written(seen.where("least < most").select("w1", "w2", "least"), "hot-windows")
         only = docs.sparkSession.sparkContext.broadcast(bloom_bits(twice, "w1"))
         met = even().mapInArrow(_single_windows(window, only), schema).join(reread(twice), ["w1", "w2"]).where("least < doc_id")
