@@ -442,3 +442,20 @@ def test_urls(spark, monkeypatch, small):
     got = sorted((r.page_id, r.verdict) for r in url_filters.judge(df).collect())
     assert got == sorted((i, v) for i, _, v in urls)
     assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    """Ids by way of chunks are those of whole texts, for odd characters and the vocabulary's own special strings."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    whole, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
+    letters = "abcXYZé ßñÅǺé 'sd.,!?<|>0123\t\n   ​世界😀İKﬁ"
+    for _ in range(40):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(20)] + ["<|endoftext|> x", "A<|ENDOFTEXT|>b", "don't I'LL we've", "   "]
+        ids, off = encoder.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids + [packing.END_ID]
