@@ -3,13 +3,12 @@
 A window is WINDOW consecutive words. A word goes when some window over it also starts in a document
 with a smaller doc_id.
 
-1. A window's key is its least hash of GRAM consecutive words, so equal windows have equal keys.
-   Consecutive windows with one key form a stretch; equal windows lie in stretches of one key.
-   A first pass takes the least and greatest doc_id per key (combined before the shuffle); only keys
-   of at least two documents matter. A Bloom filter of bounded size tells the second pass which.
-2. The stretches of those keys are the references, cut also where a second key of the window changes, so
-   that a passage gives the same stretches in any context. Equal stretches are one, with the least doc_id.
-   They are dealt to shards by key. A shard's task builds the suffix automaton of its stretches per key,
+1. A window's keys are its least hashes of GRAM consecutive words in KEYS orders, so equal windows have
+   equal keys. A first pass takes the least and greatest doc_id per key (combined before the shuffle); only
+   windows whose every key is in at least two documents can repeat. A Bloom filter of bounded size tells the
+   second pass which. Consecutive windows with the same first two keys form a stretch.
+2. The stretches are the references; a passage gives the same stretches in any context. Equal stretches
+   are one, with the least doc_id. They are dealt to shards by their first key. A shard's task builds the suffix automaton of its stretches per key,
    each state with the least doc_id of the texts it occurs in, and streams the stretches through it:
    the state of the longest match, cut back to WINDOW words, gives each window's least doc_id.
    A key with a single distinct stretch needs no automaton: it is its own only match.
@@ -39,38 +38,40 @@ from .common import Words, as_i64, bloom_bits, bloom_has, grams, mix, reread, sh
 
 WINDOW = 50
 GRAM = 10
+KEYS = 3
 SHARD_WORDS = 50_000
 KEY_STRETCHES = 200
 OTHER_RADIX = 0xD1342543DE82EF95 | 1
 
 
-def window_keys(w: Words, h: np.ndarray, window: int = WINDOW, gram: int = GRAM, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(key, first word) of every window of a slice of texts: the least gram hash inside, in one of two orders."""
+def window_keys(w: Words, h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(KEYS x keys, first word) of every window of a slice of texts: its least gram hash in each of KEYS orders."""
     g, at = grams(h, w.row, gram)
-    if second:
-        g = mix(g + np.uint64(OTHER_RADIX))
     span = window - gram + 1
     if len(g) < span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low, size = g, 1
-    while size * 2 <= span:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
+        return np.zeros((KEYS, 0), np.uint64), np.zeros(0, np.int64)
     n = len(g) - span + 1
-    low = np.minimum(low[:n], low[span - size : span - size + n])
     # grams of one row stand together, so a run of span grams is a window when its ends share the row
     whole = w.row[at[:n]] == w.row[at[span - 1 : span - 1 + n]]
-    return low[whole], at[:n][whole]
-
-
-def stretches(key: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First and last+1 window of each run of consecutive windows with one key (and one second key)."""
+    keys = []
+    for k in range(KEYS):
+        low, size = (mix(g + np.uint64(k * OTHER_RADIX & (1 << 64) - 1)) if k else g), 1
+        while size * 2 <= span:
+            low = np.minimum(low[: len(low) - size], low[size:])
+            size *= 2
+        low = np.minimum(low[:n], low[span - size : span - size + n])
+        keys.append(low[whole])
+    return np.stack(keys), at[:n][whole]
+
+
+def stretches(key: np.ndarray, at: np.ndarray, others: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 window of each run of consecutive windows with one key (and one of each of ``others``)."""
     if not len(key):
         none = np.zeros(0, np.int64)
         return none, none
     new = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
-    if second is not None:
-        new |= second[1:] != second[:-1]
+    for other in others:
+        new |= other[1:] != other[:-1]
     cut = np.flatnonzero(new) + 1
     return np.concatenate([[0], cut]), np.append(cut, len(key))
 
@@ -80,9 +81,10 @@ def key_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
-                key, at = window_keys(w, w.hash, window, gram)
-                lo, _ = stretches(key, at)
-                pairs = np.unique(np.stack([key[lo].view(np.int64), w.row[at[lo]]], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+                keys, at = window_keys(w, w.hash, window, gram)
+                first = [stretches(key, at)[0] for key in keys]
+                both = [np.stack([as_i64(key[lo]), w.row[at[lo]]], axis=1) for key, lo in zip(keys, first)]
+                pairs = np.unique(np.concatenate(both), axis=0)
                 yield pa.record_batch({"key": pa.array(pairs[:, 0]), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(pairs[:, 1]))})
 
     return docs.mapInArrow(run, "key long, doc_id long")
@@ -100,10 +102,13 @@ def stretch_rows(docs: DataFrame, wanted: tuple, window: int, gram: int) -> Data
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 h = w.hash
-                key, at = window_keys(w, h, window, gram)
-                lo, hi = stretches(key, at, window_keys(w, h, window, gram, second=True)[0])
-                hit = bloom_has(held.value, key[lo].view(np.int64)) if len(lo) else np.zeros(0, bool)
-                lo, hi = lo[hit], hi[hit]
+                keys, at = window_keys(w, h, window, gram)
+                hit = np.ones(len(at), bool)
+                for one in keys:
+                    lo, hi = stretches(one, at)
+                    hit &= np.repeat(bloom_has(held.value, as_i64(one[lo])), hi - lo)
+                key, at = keys[0][hit], at[hit]
+                lo, hi = stretches(key, at, (keys[1][hit],))
                 a, b = at[lo], at[hi - 1] + window if len(lo) else at[lo]
                 c1, c2 = as_i64(span_hash(h, a, b)), as_i64(span_hash(h, a, b, OTHER_RADIX))
                 _, once = np.unique(c1, return_index=True)
