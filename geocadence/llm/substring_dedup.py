@@ -38,7 +38,7 @@ from .common import Words, as_i64, bloom_bits, bloom_has, grams, mix, reread, sh
 
 WINDOW = 50
 GRAM = 10
-KEYS = 3
+KEYS = 4
 SHARD_WORDS = 50_000
 KEY_STRETCHES = 200
 OTHER_RADIX = 0xD1342543DE82EF95 | 1
