@@ -270,6 +270,63 @@ def majority_per_neuron(assigned: DataFrame, label: str, neuron: str = "label")
     return top.select(neuron, F.col(f"m.{label}").alias("majority"), (F.col("m.n") / F.col("total")).alias("purity"))
 
 
+# ---------------------------------------------------------------- dissimilarity
+
+
+def _packed(df: DataFrame, key: str, vector: str, blocks: int, names: Sequence[str]) -> DataFrame:
+    """Rows (block, keys, values of all vectors in a row) of complete vectors, dealt into blocks by their key."""
+    whole = df.where(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull()))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    got = whole.groupBy(block.alias(names[0])).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("_p"))
+    return got.select(names[0], F.transform("_p", lambda s: s["k"]).alias(names[1]), F.flatten(F.transform("_p", lambda s: s["v"])).alias(names[2]))
+
+
+def _block(batch: pa.RecordBatch, i: int, keys: str, values: str) -> tuple[np.ndarray, np.ndarray]:
+    k = batch.column(keys)[i].values.to_numpy(zero_copy_only=False)
+    return k, batch.column(values)[i].values.to_numpy(zero_copy_only=False).reshape(len(k), -1)
+
+
+def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * (x @ y.T), 0)
+
+
+def dissimilarity(new: DataFrame, train: DataFrame, *, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """di of each new vector: distance to the nearest training vector over the mean distance of training pairs.
+
+    Both tables are dealt into blocks of about ``block`` vectors, and blocks meet blocks: a pair of blocks is one
+    matrix product, so nothing is broadcast and no pair of vectors is a row. Keys are whole numbers, vectors of
+    one width; vectors that are null or have a null entry do not train and get a null di.
+    """
+    n_new, n_train = new.count(), train.count()
+    parts = lambda n: max(1, -(-n // block))
+    a = _packed(train, key, vector, parts(n_train), ("ba", "ka", "va"))
+    b = _packed(train, key, vector, parts(n_train), ("bb", "kb", "vb"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, count = [], []
+            for i in range(batch.num_rows):
+                (ka, x), (kb, y) = _block(batch, i, "ka", "va"), _block(batch, i, "kb", "vb")
+                pair = ka[:, None] < kb[None] if batch.column("ba")[i] == batch.column("bb")[i] else np.ones((len(ka), len(kb)), bool)
+                total.append(float(np.sqrt(_square_distances(x, y))[pair].sum()))
+                count.append(int(pair.sum()))
+            yield pa.record_batch({"total": pa.array(total, pa.float64()), "pairs": pa.array(count, pa.int64())})
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ka, x), (kb, y) = _block(batch, i, "ka", "va"), _block(batch, i, "kb", "vb")
+                best = y[np.argmin(_square_distances(x, y), axis=1)]
+                # the product loses digits of small distances; that of the nearest is taken again from the differences
+                yield pa.record_batch({"_key": pa.array(ka, pa.int64()), "_d": pa.array(np.sqrt(((x - best) ** 2).sum(axis=1)))})
+
+    mean = a.join(b, F.col("ba") <= F.col("bb")).mapInArrow(spans, "total double, pairs long").agg(F.try_divide(F.sum("total"), F.sum("pairs")).alias("_mean"))
+    met = _packed(new, key, vector, parts(n_new), ("ba", "ka", "va")).crossJoin(b)
+    near = met.mapInArrow(nearest, "_key long, _d double").groupBy("_key").agg(F.min("_d").alias("_d"))
+    out = new.select(key).distinct().join(near, F.col(key) == F.col("_key"), "left").crossJoin(F.broadcast(mean))
+    return out.select(key, F.try_divide(F.col("_d"), F.col("_mean")).alias("di"))
+
+
 # ---------------------------------------------------------------- classification
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geocadence.functions import embeddings as emb
 from geocadence.functions.special import normal_quantile
-from geocadence.operators import events, spatial, zonal
+from geocadence.operators import events, multivariate, spatial, zonal
 from geocadence.sources.tables import ANNUAL_SQL, GRID_SQL, annual, grid, read, sql, wide
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -256,14 +256,11 @@ SELECT pixel_id, year, round(1 - list_cosine_similarity(e, lag(e) OVER (PARTITIO
 def aoa_di(spark, d):
     """Dissimilarity index: distance to the nearest training vector over the mean distance between training vectors.
 
-    Training vectors are a bounded table (at most 200 here by their id), checked by count before the broadcast.
+    Every vector with an even id trains, every one with an odd id gets an index.
     """
-    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    train = e.where("vec_id % 2 = 0 AND vec_id < 200").select(F.col("vec_id").alias("t"), F.col("e").alias("te"))
-    other = train.select(F.col("t").alias("u"), F.col("te").alias("ue"))
-    mean = train.crossJoin(F.broadcast(other)).where("t < u").agg(F.avg(emb.euclid(F.col("te"), F.col("ue"))).alias("mean"))
-    new = e.where("vec_id % 2 = 1").crossJoin(F.broadcast(train)).groupBy("vec_id").agg(F.min(emb.euclid(F.col("e"), F.col("te"))).alias("d"))
-    return new.crossJoin(F.broadcast(mean)).select("vec_id", F.round(F.col("d") / F.col("mean"), 6).alias("di"))
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    di = multivariate.dissimilarity(e.where("vec_id % 2 = 1"), e.where("vec_id % 2 = 0"), key="vec_id", vector="embedding")
+    return di.select("vec_id", F.round("di", 6).alias("di"))
 
 
 QUERIES["aoa_di"] = aoa_di
