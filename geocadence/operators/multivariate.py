@@ -274,11 +274,14 @@ def majority_per_neuron(assigned: DataFrame, label: str, neuron: str = "label")
 
 
 def _packed(df: DataFrame, key: str, vector: str, blocks: int, names: Sequence[str]) -> DataFrame:
-    """Rows (block, keys, values of all vectors in a row) of complete vectors, dealt into blocks by their key."""
+    """Rows (block, keys, values of all vectors in a row) of complete vectors, dealt into blocks by their key.
+
+    Two blocks go to a partition, as a product of tables has as many tasks as pairs of partitions.
+    """
     whole = df.where(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull()))
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     got = whole.groupBy(block.alias(names[0])).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("_p"))
-    return got.select(names[0], F.transform("_p", lambda s: s["k"]).alias(names[1]), F.flatten(F.transform("_p", lambda s: s["v"])).alias(names[2]))
+    return got.select(names[0], F.transform("_p", lambda s: s["k"]).alias(names[1]), F.flatten(F.transform("_p", lambda s: s["v"])).alias(names[2])).coalesce(-(-blocks // 2))
 
 
 def _block(batch: pa.RecordBatch, i: int, keys: str, values: str) -> tuple[np.ndarray, np.ndarray]:
