@@ -103,8 +103,8 @@ def spatial_blocks(points: DataFrame, size: float, k: int, *, shape: str = "squa
 
 
 def variogram(points: DataFrame, cutoff: float, bins: int) -> DataFrame:
-    """Empirical semivariogram over pairs of a bounded sample of points (id, x, y, value): pairs within the cutoff
-    meet through cells of the cutoff's size, so the work follows the density, not the square of the sample."""
+    """Empirical semivariogram over all pairs of points (id, x, y, value): pairs within the cutoff meet through
+    cells of the cutoff's size, so the work follows the density, not the square of the number of points."""
     cell = lambda c: F.floor(F.col(c) / cutoff)
     a = points.select(F.col("id").alias("i"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("value").alias("va"), cell("x").alias("cx"), cell("y").alias("cy"))
     b = points.select(F.col("id").alias("j"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("value").alias("vb"), cell("x").alias("bx"), cell("y").alias("by")).crossJoin(offsets(points, 1))

@@ -219,7 +219,7 @@ ORACLE_SQL["spatial_blocks"] = sql(GRID_SQL, "b AS (SELECT *, CAST(y // 8 AS BIG
     select="SELECT y, x, block_row, block_col, fold FROM b JOIN f USING (block_row, block_col)")
 QUERIES["spatial_checkerboard"] = lambda spark, d: spatial.spatial_blocks(grid(spark, d), 8, 2, selection="checkerboard").select("y", "x", "fold")
 ORACLE_SQL["spatial_checkerboard"] = sql(GRID_SQL, select="SELECT y, x, CAST((y // 8 + x // 8) % 2 AS INTEGER) AS fold FROM grid")
-QUERIES["variogram_bins"] = lambda spark, d: spatial.variogram(grid(spark, d).where("y < 20").select((F.col("y") * 50 + F.col("x")).alias("id"), "x", "y", F.sqrt("size").alias("value")), 6.5, 5).select("bin", "n", F.round("distance", 6).alias("distance"), F.round("gamma", 6).alias("gamma"))
+QUERIES["variogram_bins"] = lambda spark, d: spatial.variogram(grid(spark, d).select((F.col("y") * 50 + F.col("x")).alias("id"), "x", "y", F.sqrt("size").alias("value")), 6.5, 5).select("bin", "n", F.round("distance", 6).alias("distance"), F.round("gamma", 6).alias("gamma"))
 ORACLE_SQL["variogram_bins"] = sql(GRID_SQL, "p AS (SELECT y * 50 + x AS id, x, y, sqrt(size) AS v FROM grid WHERE y < 20)", "q AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, pow(a.v - b.v, 2) AS g FROM p a JOIN p b ON a.id < b.id)",
     select="SELECT CAST(least(4, ceil(d / 1.3) - 1) AS INTEGER) AS bin, count(*) AS n, round(avg(d), 6) AS distance, round(avg(g) / 2, 6) AS gamma FROM q WHERE d > 0 AND d <= 6.5 GROUP BY 1")
 

@@ -35,3 +35,18 @@ def test_dissimilarity_of_many_blocks_copies_and_gaps(spark):
     got = multivariate.dissimilarity(frame(new), frame(train), key="k", vector="v", block=16).toPandas().sort_values("k")
     np.testing.assert_allclose(got["di"][got["k"] < 1000], brute_di(new, train), atol=1e-9)
     assert got["di"][got["k"] >= 1000].isna().tolist() == [True, True]
+
+
+def test_variogram_of_the_whole_map(spark, tmp_path):
+    ids = np.arange(1500)
+    size = ids * 7919 % 50 + 1
+    pd.DataFrame({"p_partkey": ids, "p_size": size, "p_retailprice": ids * 1.0}).to_parquet(f"{tmp_path}/part.parquet")
+    at, value = np.stack([ids // 50, ids % 50], axis=1), np.sqrt(size)
+    i, j = np.triu_indices(len(ids), 1)
+    apart = np.sqrt(((at[i] - at[j]) ** 2).sum(axis=1))
+    near = apart <= 6.5
+    half = (value[i] - value[j])[near] ** 2 / 2
+    want = pd.DataFrame({"bin": np.minimum(4, np.ceil(apart[near] / 1.3) - 1).astype(int), "d": apart[near], "g": half}).groupby("bin").agg(n=("d", "size"), distance=("d", "mean"), gamma=("g", "mean"))
+    got = catalog.queries()["variogram_bins"](spark, str(tmp_path)).toPandas().set_index("bin").sort_index()
+    assert got["n"].tolist() == want["n"].tolist()
+    np.testing.assert_allclose(got[["distance", "gamma"]], want[["distance", "gamma"]], atol=1e-6)
