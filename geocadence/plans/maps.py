@@ -79,12 +79,16 @@ ORACLE_SQL["predict_harmonic"] = sql(WIDE_SQL, f"x AS (SELECT *, {_TT} AS t FROM
 
 
 def asof(spark, d):
-    left = read(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 50).alias("k"), F.to_date("l_shipdate").alias("ship"))
-    left = left.groupBy("l_orderkey").agg(F.min("k").alias("k"), F.min("ship").alias("ship"))
+    """Every lineitem row with its nearest order; rows that repeat order and line number are told apart by ``copy``."""
+    from pyspark.sql import Window as W
+
+    left = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("k"), F.to_date("l_shipdate").alias("ship"))
+    left = left.withColumn("copy", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("ship", "k")))
+    left = left.select(F.struct("l_orderkey", "l_linenumber", "copy").alias("id"), "k", "ship")
     right = read(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.to_date("o_orderdate").alias("od"), F.col("o_orderkey"))
     right = right.groupBy("k", "od").agg(F.min("o_orderkey").cast("long").alias("o"))
-    out = events.asof_nearest(left, right, 8, key="k", left_ts="ship", right_ts="od", left_id="l_orderkey", value="o")
-    return out.withColumns({c: F.col(c).cast("double") for c in ("matched_value", "gap_days")})
+    out = events.asof_nearest(left, right, 8, key="k", left_ts="ship", right_ts="od", left_id="id", value="o")
+    return out.select("id.*", "k", "matched_ts", *[F.col(c).cast("double").alias(c) for c in ("matched_value", "gap_days")])
 
 
 QUERIES["asof_nearest"] = asof
@@ -121,8 +125,7 @@ ORACLE_SQL["cva_table"] = sql(_CVA, select=f"SELECT {_CVA_SECTOR} AS sector, cou
 
 
 def _cells(spark, d):
-    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_custkey") % 11 != 0, F.sqrt(F.abs("c_acctbal"))).alias("value"))
-    return c.where("zone <> 3")
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_custkey") % 11 != 0, F.sqrt(F.abs("c_acctbal"))).alias("value"))
 
 
 CELLS_SQL = "cells AS (SELECT c_nationkey AS zone, c_mktsegment AS label, CASE WHEN c_custkey % 11 <> 0 THEN sqrt(abs(c_acctbal)) END AS value FROM customer WHERE c_nationkey <> 3)"

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from geocadence.operators import multivariate
+from geocadence.operators import multivariate, zonal
 from geocadence.plans import catalog
 
 
@@ -50,3 +50,38 @@ def test_variogram_of_the_whole_map(spark, tmp_path):
     got = catalog.queries()["variogram_bins"](spark, str(tmp_path)).toPandas().set_index("bin").sort_index()
     assert got["n"].tolist() == want["n"].tolist()
     np.testing.assert_allclose(got[["distance", "gamma"]], want[["distance", "gamma"]], atol=1e-6)
+
+
+def test_asof_matches_every_lineitem(spark, sf_dir):
+    x, o = pd.read_parquet(f"{sf_dir}/lineitem.parquet"), pd.read_parquet(f"{sf_dir}/orders.parquet")
+    day = lambda c: pd.to_datetime(c).to_numpy().astype("datetime64[D]").astype(int)
+    first = o.assign(k=o["o_custkey"] % 50, od=day(o["o_orderdate"])).groupby(["k", "od"])["o_orderkey"].min()
+    want = []
+    for order, line, k, ship in zip(x["l_orderkey"], x["l_linenumber"], x["l_suppkey"] % 50, day(x["l_shipdate"])):
+        near = [(abs(g), ship + g, first[k, ship + g]) for g in range(-8, 9) if (k, ship + g) in first.index]
+        gap, _, value = min(near, default=(-1, 0, -1))
+        want.append((order, line, k, value, gap))
+    got = catalog.queries()["asof_nearest"](spark, sf_dir).toPandas()
+    assert not got.duplicated(["l_orderkey", "l_linenumber", "copy"]).any()
+    assert sorted(got[["l_orderkey", "l_linenumber", "k", "matched_value", "gap_days"]].fillna(-1).astype(int).itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_zones_hold_every_customer(spark, sf_dir):
+    c = pd.read_parquet(f"{sf_dir}/customer.parquet")
+    c = c[c["c_custkey"] % 11 != 0].assign(value=lambda t: np.sqrt(t["c_acctbal"].abs()))
+    q = {n: catalog.queries()[n](spark, sf_dir).toPandas() for n in ("zonal_stats", "zonal_stats_wide", "zonal_areas")}
+    for n, count in (("zonal_stats", "n"), ("zonal_areas", "pixels")):
+        got = q[n].groupby(["zone", "label"])[count].sum()
+        assert got[got > 0].to_dict() == c.groupby(["c_nationkey", "c_mktsegment"]).size().to_dict()
+    wide = q["zonal_stats_wide"].set_index("zone").loc[3].dropna()
+    want = c[c["c_nationkey"] == 3].groupby("c_mktsegment")["value"].mean()
+    assert sorted(wide.index) == sorted(want.index)
+    np.testing.assert_allclose(wide[want.index].astype(float), want, atol=1e-6)
+
+
+def test_an_empty_zone_keeps_its_rows(spark):
+    cells = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (1, "b", None)], "zone int, label string, value double")
+    stats = zonal.zonal_stats(cells, spark.createDataFrame([(1,), (2,)], "zone int"))
+    assert sorted((r.zone, r.label, r.n, r.mean) for r in stats.where("label = 'a'").collect()) == [(1, "a", 2, 3.0), (2, "a", 0, None)]
+    wide = {r.zone: (r.a, r.b) for r in zonal.zonal_wide(stats, ["a", "b"]).collect()}
+    assert wide == {1: (3.0, None), 2: (None, None)}
