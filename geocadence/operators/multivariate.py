@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geocadence.functions import special
 
@@ -256,11 +257,18 @@ def som_batch(df: DataFrame, cols: Sequence[str], *, rows: int = 3, columns: int
 
 
 def som_assign(df: DataFrame, cols: Sequence[str], w: np.ndarray) -> DataFrame:
-    """label and distance of the best neuron: K distances as one array expression (K is the map's size)."""
-    complete = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
-    d = [sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(cols, row)), F.lit(0.0)) for row in w]
-    best = F.array_min(F.array(*[F.struct(v.alias("d"), F.lit(i).alias("i")) for i, v in enumerate(d)]))
-    return complete.withColumn("_b", best).withColumn("label", F.col("_b.i")).withColumn("distance", F.sqrt("_b.d")).drop("_b")
+    """label and distance of the best neuron, the first on ties; rows with a missing column are left out."""
+    complete = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).drop("label", "distance")
+    names = complete.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(float)
+            d = np.stack([((x - n) ** 2).sum(axis=1) for n in w], axis=1)
+            best = np.argmin(d, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(d)), best]))], names=[*names, "label", "distance"])
+
+    return complete.mapInArrow(run, T.StructType([*complete.schema.fields, T.StructField("label", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
 
 
 def majority_per_neuron(assigned: DataFrame, label: str, neuron: str = "label") -> DataFrame:

@@ -77,16 +77,16 @@ QUERIES["unmix_fcls"] = unmix_fcls
 # ---------------------------------------------------------------- global operators
 
 
-def _vectors(spark, d, n=8):
-    return read(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
-
-
-_COLS = [f"e{i}" for i in range(8)]
+def _vectors(spark, d):
+    """The embeddings with a column for each entry, and those columns' names; entries that a shorter vector lacks are null."""
+    e = read(spark, d, "embeddings")
+    cols = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
 def pca(spark, d):
-    t = mv.pca_fit(_vectors(spark, d), _COLS, 3)
-    return t.apply(_vectors(spark, d)).select("vec_id", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "pc3")])
+    e, cols = _vectors(spark, d)
+    return mv.pca_fit(e, cols, 3).apply(e).select("vec_id", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "pc3")])
 
 
 QUERIES["pca_embeddings"] = pca
@@ -141,16 +141,16 @@ QUERIES["radcal"] = radcal
 
 
 def som(spark, d):
-    e = _vectors(spark, d)
-    return mv.som_assign(e, _COLS, mv.som_batch(e, _COLS, rounds=4)).select("vec_id", "label", "distance")
+    e, cols = _vectors(spark, d)
+    return mv.som_assign(e, cols, mv.som_batch(e, cols, rounds=4)).select("vec_id", "label", "distance")
 
 
 QUERIES["som_clusters"] = som
 
 
 def som_purity(spark, d):
-    e = _vectors(spark, d)
-    got = mv.som_assign(e.withColumnRenamed("label", "class"), _COLS, mv.som_batch(e, _COLS, rounds=3))
+    e, cols = _vectors(spark, d)
+    got = mv.som_assign(e.withColumnRenamed("label", "class"), cols, mv.som_batch(e, cols, rounds=3))
     return mv.majority_per_neuron(got, "class")
 
 
@@ -158,8 +158,8 @@ QUERIES["clean_samples_neurons"] = som_purity
 
 
 def rf(spark, d):
-    e = _vectors(spark, d)
-    model = mv.train_classifier(e.where("vec_id % 2 = 0"), _COLS, "label", trees=20)
+    e, cols = _vectors(spark, d)
+    model = mv.train_classifier(e.where("vec_id % 2 = 0"), cols, "label", trees=20)
     return mv.classify(e.where("vec_id % 2 = 1"), model).select("vec_id", "predicted")
 
 

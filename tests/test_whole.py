@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from geocadence.operators import multivariate, zonal
-from geocadence.plans import catalog
+from geocadence.plans import catalog, kernels
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,22 @@ def test_an_empty_zone_keeps_its_rows(spark):
     assert sorted((r.zone, r.label, r.n, r.mean) for r in stats.where("label = 'a'").collect()) == [(1, "a", 2, 3.0), (2, "a", 0, None)]
     wide = {r.zone: (r.a, r.b) for r in zonal.zonal_wide(stats, ["a", "b"]).collect()}
     assert wide == {1: (3.0, None), 2: (None, None)}
+
+
+def test_components_and_neurons_use_every_entry(spark, sf_dir, vectors):
+    ids, x, labels = vectors
+    pc = catalog.queries()["pca_embeddings"](spark, sf_dir).toPandas().set_index("vec_id").loc[ids]
+    centred = x - x.mean(axis=0)
+    top = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :3]
+    np.testing.assert_allclose(np.abs(pc), np.abs(centred @ top), atol=1e-5)
+    e, cols = kernels._vectors(spark, sf_dir)
+    assert len(cols) == x.shape[1]
+    w = multivariate.som_batch(e, cols, rounds=4)
+    apart = np.sqrt(((x[:, None] - w[None]) ** 2).sum(axis=2))
+    got = catalog.queries()["som_clusters"](spark, sf_dir).toPandas().set_index("vec_id").loc[ids]
+    np.testing.assert_allclose(got["distance"], apart.min(axis=1), atol=1e-9)
+    w = multivariate.som_batch(e, cols, rounds=3)
+    neuron = ((x[:, None] - w[None]) ** 2).sum(axis=2).argmin(axis=1)
+    top = pd.crosstab(neuron, labels, normalize="index").max(axis=1)
+    purity = catalog.queries()["clean_samples_neurons"](spark, sf_dir).toPandas().set_index("label")["purity"]
+    np.testing.assert_allclose(purity.sort_index(), top.sort_index(), atol=1e-12)
