@@ -158,9 +158,10 @@ QUERIES["clean_samples_neurons"] = som_purity
 
 
 def rf(spark, d):
+    """Class of every vector by the forest that learned on the vectors of the other parity."""
     e, cols = _vectors(spark, d)
-    model = mv.train_classifier(e.where("vec_id % 2 = 0"), cols, "label", trees=20)
-    return mv.classify(e.where("vec_id % 2 = 1"), model).select("vec_id", "predicted")
+    e = e.withColumn("fold", F.coalesce(F.pmod("vec_id", F.lit(2)), F.lit(0)).cast("int"))
+    return mv.cross_validate(e, cols, "label", "fold", (0, 1)).select("vec_id", "predicted")
 
 
 QUERIES["rf_classify"] = rf

@@ -104,3 +104,13 @@ def test_components_and_neurons_use_every_entry(spark, sf_dir, vectors):
     top = pd.crosstab(neuron, labels, normalize="index").max(axis=1)
     purity = catalog.queries()["clean_samples_neurons"](spark, sf_dir).toPandas().set_index("label")["purity"]
     np.testing.assert_allclose(purity.sort_index(), top.sort_index(), atol=1e-12)
+
+
+def test_every_vector_is_classified_out_of_fold(spark, sf_dir, vectors):
+    ids, _, labels = vectors
+    e, cols = kernels._vectors(spark, sf_dir)
+    got = catalog.queries()["rf_classify"](spark, sf_dir).toPandas().set_index("vec_id")["predicted"]
+    assert sorted(got.index) == ids.tolist() and set(got) <= set(labels)
+    model = multivariate.train_classifier(e.where("vec_id % 2 = 1"), cols, "label")
+    want = multivariate.classify(e.where("vec_id % 2 = 0"), model).select("vec_id", "predicted").toPandas().set_index("vec_id")["predicted"]
+    assert model.stages[2].getNumTrees == 100 and got[want.index].tolist() == want.tolist()
