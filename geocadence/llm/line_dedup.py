@@ -1,6 +1,6 @@
 """Line dedup: fuzzy lines by MinHash, one line kept per component.
 
-1. Lines with at least MIN_WORDS words are candidates; equal lines are one node, named by their hash.
+1. Lines with a word are candidates; equal lines are one node, named by their hash.
 2. A line's set is its 8-character shingles, A-Z lower-cased (a shorter line is one shingle). One hash of
    each gives a bin and a value; 36 bins make 12 bands of 3, which lines of similarity 0.8 share with
    probability 0.9998 and those of 0.9 with 1 - 5e-7.
@@ -9,7 +9,7 @@
    Buckets that still span components get their other alike pairs verified as well.
 4. Of each component the first line by (doc_id, text hash, line number) stays; all others go.
 
-Cases: a null text has no lines; blank lines and lines of fewer than MIN_WORDS words are never removed;
+Cases: a null text has no lines; blank lines are never removed;
 rows that repeat both doc_id and text are one document (the first line stays in each of them); null
 doc_ids come last; empty tables give empty results; extra columns pass through ``dedup_lines``.
 """
@@ -30,7 +30,7 @@ SHINGLE = 8
 ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
 SIMILAR = (80, 100)
-MIN_WORDS = 3
+MIN_WORDS = 1
 SKETCH_FLOOR = 0.55
 
 
