@@ -1,22 +1,22 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes). Texts with the same words form
-   one class, represented by its smallest doc_id; copies are never expanded into pairs.
+   one class, represented by its first document; copies are never expanded into pairs.
 2. One hash of a shingle gives its bin (of BINS) and its value; a class's signature is the least value
    per bin, and an empty bin borrows from a bin that a hash of (bin, attempt) picks, until one is filled.
-3. BANDS bands of ROWS values make buckets. In each bucket every class is paired with the smallest one
-   (a star), so a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets.
-4. Components of the verified links. A star can miss a link between two members that are both unlike
-   its centre; so in buckets that still span several components, members outside the largest one are
-   paired with the most alike other one by signature, verified, and components are made again. At last
-   all alike pairs that still lie across components are verified inside their bucket's task, in blocks.
-
-With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6.
-
-Rows of one doc_id with different texts are one document in links. Null doc_ids are linked with
-nothing (component_id null, kept). Null, empty or wordless texts have 0 shingles and component
-themselves. Shorter texts have one shingle, their whole word sequence. Repeated rows give repeated
-results; empty tables give empty results; extra columns are ignored by ``components_of``.
+3. BANDS bands of ROWS values make buckets; ``buckets.linked`` makes stars of each, verifies pairs on full
+   shingle sets, makes components, and looks again where a star may have missed a link.
+
+With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6; a pair that shares one is
+verified unless fewer than FLOOR of the 128 values agree, whose probability is 2e-10. Sets of fewer than BINS
+shingles, whose borrowed values are not independent, are verified whatever agrees.
+
+Cases: null, empty or wordless texts have 0 shingles and component themselves. Texts of one to four words have one
+shingle, their whole word sequence. Texts are taken whole, however long. Null doc_ids are linked with
+nothing (component_id null, kept). Rows of one doc_id with different texts are one document in
+``components_of``: it joins whatever their texts are linked with; rows that repeat doc_id and text give repeated
+results. Of a tie (equal words) the smallest doc_id is the component. Empty tables give empty results. Extra
+columns of any name are ignored by ``components_of`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -28,18 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RADIX, Words, as_i64, bloom_bits, bloom_has, grams, mix, reread, slices, span_hash, table, written
+from .buckets import linked
+from .common import RADIX, Words, as_i64, grams, mix, reread, slices, span_hash, table, written
 from .graph import components
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SIMILAR = (75, 100)
-# 4 standard deviations of a signature's likeness below the similarity
-SKETCH_FLOOR = 0.6
-PAIRS_PER_GROUP = 2000
-MEMBERS_PER_SALT = 256
-BLOCK = 1024
+#: of BINS: at the similarity, fewer agree with probability 2e-10
+FLOOR = 64
 BROADCAST_ROWS = 1_000_000
 OTHER_RADIX = 0xD1342543DE82EF95 | 1
 
@@ -96,16 +94,7 @@ def short_values(sig: np.ndarray) -> np.ndarray:
     return (mix(sig.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
-def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    n, bins = sig.shape
-    x = np.broadcast_to(np.arange(bins // rows, dtype=np.uint64)[None, :] + np.uint64(1), (n, bins // rows)).copy()
-    s = sig.reshape(n, bins // rows, rows).astype(np.uint64)
-    for i in range(rows):
-        x = mix(x * np.uint64(RADIX) + s[:, :, i])
-    return x
-
-
-SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
+SKETCH_SCHEMA = "doc_id long, thash long, n_shingles long, k1 long, k2 long, sig binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -118,266 +107,92 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sig = signatures(g, row, w.n_rows)
                 a, b = w.first[:-1], w.first[1:]
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(np.diff(off).astype(np.int64)),
+                    "doc_id": part.column("doc_id").cast(pa.int64()), "thash": part.column("thash"), "n_shingles": pa.array(np.diff(off).astype(np.int64)),
                     "k1": pa.array(as_i64(span_hash(h, a, b))), "k2": pa.array(as_i64(span_hash(h, a, b, OTHER_RADIX))),
                     "sig": pa.array([x.tobytes() for x in short_values(sig)], pa.binary()),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
-def bucket_rows(nodes: DataFrame, bins: int, rows: int, only: tuple | None = None, with_sig: bool = False) -> DataFrame:
-    """(bucket, id[, sig]) of every node and band, or only of buckets that the Bloom filter ``only`` holds."""
-    held = nodes.sparkSession.sparkContext.broadcast(only) if only is not None else None
+def _word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    g, _, off, _, _ = shingle_sets(column)
+    return g, off
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = held.value if held else None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = batch.column("sig")
-            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, bins)
-            keys = as_i64(band_keys(sig, rows))
-            r = np.repeat(np.arange(len(keys)), keys.shape[1])
-            flat = keys.reshape(-1)
-            if wanted is not None:
-                hit = bloom_has(wanted, flat)
-                r, flat = r[hit], flat[hit]
-            take = pa.array(r)
-            out = {"bucket": pa.array(flat), "id": batch.column("id").take(take)}
-            if with_sig:
-                out["sig"] = raw.take(take)
-            yield pa.record_batch(out)
-
-    return nodes.select("id", "sig").mapInArrow(run, "bucket long, id long" + ", sig binary" * with_sig)
-
-
-def star_pairs(nodes: DataFrame, bins: int, rows: int) -> tuple[DataFrame, DataFrame, tuple]:
-    """(a, b) pairs of each bucket's smallest id with its others; the shared buckets; a filter that holds them."""
-    shared = bucket_rows(nodes, bins, rows).groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z")
-    shared = written(shared, "buckets")
-    filter_ = bloom_bits(shared, "bucket")
-    two = shared.where("n = 2").select("a", F.col("z").alias("b"))
-    more = bucket_rows(nodes, bins, rows, filter_).join(shared.where("n > 2").select("bucket", "a"), "bucket").where("id <> a").select("a", F.col("id").alias("b"))
-    return two.unionByName(more).distinct(), shared, filter_
-
-
-def open_buckets(nodes: DataFrame, shared: DataFrame, filter_: tuple, label: DataFrame, bins: int, rows: int) -> DataFrame:
-    """Buckets of three or more whose members are in several components: bucket, a (the centre), blocks."""
-    known = bucket_rows(nodes, bins, rows, filter_).join(shared.where("n > 2").select("bucket", "a", "n"), "bucket")
-    known = known.join(label, known.id == label.node, "left").select("bucket", "a", "n", F.coalesce("component", "id").alias("component"))
-    spread = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"), F.max("a").alias("a"))
-    return written(spread.where("lo < hi").select("bucket", "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
-
-
-def _open_members(nodes: DataFrame, spread: DataFrame, label: DataFrame, bins: int, rows: int) -> DataFrame:
-    """bucket, p, q, id, component, mine, sig of the members of open buckets but their centres. Buckets of many
-    members are split into blocks, and each pair of blocks (p, q) is dealt on its own."""
-    members = bucket_rows(nodes, bins, rows, bloom_bits(spread, "bucket"), with_sig=True)
-    out = members.join(spread, "bucket").where("id <> a").join(label, F.col("id") == label.node, "left")
-    out = out.select("bucket", "id", "sig", "blocks", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", "component", "mine", "sig")
-
-
-def _by_group(kernel):
-    """A function over batches sorted by (bucket, p, q) that gives each group's rows to ``kernel`` as one table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(batch.column("bucket").to_pylist(), batch.column("p").to_pylist(), batch.column("q").to_pylist()))
-            cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(cut, cut[1:]):
-                if keys[a] != last and held:
-                    yield kernel(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                last = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield kernel(pa.Table.from_batches(held).combine_chunks())
-
-    return run
-
-
-def best_pairs(nodes: DataFrame, spread: DataFrame, label: DataFrame, bins: int, rows: int, floor: float) -> DataFrame:
-    """Each member outside the largest component of an open bucket with the most alike member of another one."""
-    dealt = _open_members(nodes, spread, label, bins, rows).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return dealt.mapInArrow(_by_group(lambda t: _most_alike(t, bins, floor)), "a long, b long").distinct()
-
-
-def _columns(t: pa.Table, bins: int) -> tuple:
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, bins)
-    return t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("mine").to_numpy(), t.column("p")[0].as_py() != t.column("q")[0].as_py(), sig
-
-
-def _most_alike(t: pa.Table, bins: int, floor: float) -> pa.RecordBatch:
-    ids, comp, mine, across, sig = _columns(t, bins)
-    kinds, size = np.unique(comp, return_counts=True)
-    main = kinds[np.argmax(size)]
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(comp != main):
-        ok = comp != comp[i]
-        if across:
-            ok &= mine != mine[i]
-        like = np.where(ok, (sig == sig[i]).mean(axis=1), -1.0)
-        j = int(np.argmax(like))
-        if like[j] >= floor:
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-
-def last_links(nodes: DataFrame, spread: DataFrame, label: DataFrame, texts, sets, bins: int, rows: int, floor: float, similar: tuple[int, int]) -> DataFrame:
-    """Links across components inside the buckets that are still open, verified where the bucket's members meet.
-
-    Members bring their texts, so no pair ever becomes a row: only links leave a task, and of those only what
-    joins two of its components.
-    """
-    members = written(_open_members(nodes, spread, label, bins, rows), "open-members")
-    near = written(texts(members.select("id")), "open-texts")
-    full = reread(members).join(near, "id").select("bucket", "p", "q", "id", "component", "mine", "sig", "text")
-    dealt = full.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return dealt.mapInArrow(_by_group(lambda t: _verified_inside(t, sets, bins, rows, floor, similar)), "a long, b long").distinct()
-
-
-def _verified_inside(t: pa.Table, sets, bins: int, rows: int, floor: float, similar: tuple[int, int]) -> pa.RecordBatch:
-    ids, comp, mine, across, sig = _columns(t, bins)
-    up, down = similar
-    found = np.flatnonzero(as_i64(band_keys(sig[:1], rows))[0] == t.column("bucket")[0].as_py())
-    band = int(found[0]) if len(found) else 0
-    own: list[np.ndarray] | None = None
-    group = comp.copy()
-    out: list[tuple[int, int]] = []
-    for i in range(len(ids) - 1):
-        ok = group[i + 1 :] != group[i]
-        if across:
-            ok &= mine[i + 1 :] != mine[i]
-        j = np.flatnonzero(ok) + i + 1
-        if not len(j):
-            continue
-        same = sig[j] == sig[i]
-        # a pair is looked at in the first band that it shares
-        early = same[:, : band * rows].reshape(len(j), band, rows).all(axis=2).any(axis=1) if band else np.zeros(len(j), bool)
-        for k in j[(same.mean(axis=1) >= floor) & ~early]:
-            if group[k] == group[i]:
-                continue
-            if own is None:
-                own = [x for part in _parts(t) for x in _split(*sets(part.column("text")))]
-            x, y = own[i], own[k]
-            if min(len(x), len(y)) * down < up * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if down * both >= up * (len(x) + len(y) - both):
-                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-                group[group == group[k]] = group[i]
-    return pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-
-def doc_texts(docs: DataFrame):
-    """A function from wanted ids to (id, text) rows; ids are broadcast only below a checked count."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
+def classes_of(sketch: DataFrame) -> DataFrame:
+    """(k1, k2, id, doc_id, thash, few, sig): one row per distinct word sequence, with its first document."""
+    full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = F.min_by(F.struct("n_shingles", "sig"), F.struct("doc_id", "thash")).alias("own")
+    out = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "thash")).alias("first"), first)
+    out = out.select("k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.thash").alias("thash"), (F.col("own.n_shingles") < BINS).alias("few"), F.col("own.sig").alias("sig"))
+    # numbered once: later readers see the written numbers
+    return written(out.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    def of(ids: DataFrame) -> DataFrame:
-        ids = written(ids.distinct(), "wanted")
-        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
 
-    return of
+def class_texts(docs: DataFrame, classes: DataFrame):
+    """A function from wanted class ids to their (id, text); ids are broadcast only below a checked count."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
+    def of(ids: DataFrame) -> DataFrame:
+        wanted = written(classes.select("id", "doc_id", "thash").join(ids, "id"), "wanted")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        # rows that repeat both doc_id and text give one text
+        return texts.join(side, ["doc_id", "thash"]).select("id", "text").dropDuplicates(["id"])
 
-def verified(pairs: DataFrame, texts, sets, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the similarity, intersected in full.
-
-    ``texts(ids)`` gives (id, text) rows; ``sets(column)`` gives hashes and offsets per row. Pairs are dealt by their
-    centre in groups of bounded size, a centre with many partners over several groups, each with one
-    copy of the centre's text.
-    """
-    pairs = written(pairs, "pairs")
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    total = pairs.count()
-    shards = max(1, total // PAIRS_PER_GROUP)
-    keyed = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS_PER_SALT)))
-    keyed = written(keyed.select("a", "b", F.pmod(F.xxhash64("a", "salt"), F.lit(shards)).alias("shard")), "dealt-pairs")
-    near = written(texts(pairs.select(F.col("a").alias("id")).unionByName(reread(pairs).select(F.col("b").alias("id")))), "pair-texts")
-    centres = keyed.select("shard", F.col("a").alias("id")).distinct().join(near, "id").select("shard", F.col("id").alias("a"), "text")
-    members = reread(keyed).withColumnRenamed("b", "id").join(reread(near), "id").select("shard", "a", F.col("id").alias("b"), "text")
-    up, down = similar
-
-    def check(m: pa.Table, c: pa.Table) -> pa.Table:
-        where: dict[int, list[int]] = {}
-        for i, a in enumerate(c.column("a").to_pylist()):
-            where.setdefault(a, []).append(i)
-        centre = [x for part in _parts(c) for x in _split(*sets(part.column("text")))]
-        keep_a, keep_b = [], []
-        for part in _parts(m):
-            for a, b, x in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), _split(*sets(part.column("text")))):
-                for i in where.get(a, ()):
-                    y = centre[i]
-                    if min(len(x), len(y)) * down < up * max(len(x), len(y)):
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if down * both >= up * (len(x) + len(y) - both):
-                        keep_a.append(a)
-                        keep_b.append(b)
-                        break
-        return pa.table({"a": pa.array(keep_a, pa.int64()), "b": pa.array(keep_b, pa.int64())})
-
-    return members.groupBy("shard").cogroup(centres.groupBy("shard")).applyInArrow(check, "a long, b long")
-
-
-def _parts(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    for batch in t.combine_chunks().to_batches():
-        yield from slices(batch, "text")
-
-
-def _split(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    return [values[a:b] for a, b in zip(off[:-1], off[1:])]
+    return of
 
 
-def _word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    g, _, off, _, _ = shingle_sets(column)
-    return g, off
+def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches, classes, and (node, component) of the classes that have a link."""
+    sketch = written(sketches(docs), "sketches")
+    classes = classes_of(sketch)
+    return sketch, classes, linked(classes.select("id", "sig", "few"), class_texts(docs, reread(classes)), _word_sets, BINS, ROWS, SIMILAR, FLOOR)
 
 
-def linked(nodes: DataFrame, texts, sets, bins: int, rows: int, similar: tuple[int, int], floor: float = SKETCH_FLOOR) -> DataFrame:
-    """(node, component) of all ``nodes`` (id, sig) that have a link: stars, then the most alike pairs across
-    components, which join most of what belongs together, then all alike pairs that are still apart."""
-    pairs, shared, filter_ = star_pairs(nodes, bins, rows)
-    links = written(verified(pairs, texts, sets, similar), "stars")
-    label = written(components(links), "labels")
-    for last in (False, True):
-        spread = open_buckets(nodes, shared, filter_, label, bins, rows)
-        if not spread.head(1):
-            break
-        if last:
-            more = written(last_links(nodes, spread, label, texts, sets, bins, rows, floor, similar), "last-links")
-        else:
-            more = written(verified(best_pairs(nodes, spread, label, bins, rows, floor), texts, sets, similar), "more-links")
-        if more.head(1):
-            known = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-            label = written(components(known.unionByName(more)), "labels")
-    return label
+def first_places(classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(k1, k2, first): the first (doc_id, thash) of each class's component. Written in between, so that a component
+    of many classes is a skewed join, which Spark splits, and never a group."""
+    own = reread(classes).select("k1", "k2", "id", F.struct("doc_id", "thash").alias("place"))
+    first = written(label.join(own, F.col("node") == F.col("id")).groupBy("component").agg(F.min("place").alias("first")), "firsts")
+    by_node = written(label.join(first, "component").select("node", "first"), "node-firsts")
+    return own.join(by_node, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("first", "place").alias("first"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (doc_id, text)."""
-    sketch = written(sketches(docs), "sketches")
-    full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    label = linked(classes, doc_texts(docs), _word_sets, BINS, ROWS, SIMILAR)
-    # a document with several texts joins their classes
-    named = classes.select("k1", "k2", "id").join(label, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    sketch, classes, label = class_components(docs)
+    known = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2")
+    member = known.distinct().join(reread(classes).select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
+    # a document of several texts joins their classes
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    several = written(several, "documents-of-several-texts")
+    if several.head(1):
+        star = member.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+        label = written(components(label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(star)), "labels")
+    by_class = written(first_places(classes, label).select("k1", "k2", F.col("first.doc_id").alias("component_id")), "components")
+    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the first of their component."""
-    gone = components_of(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row's text of each group of near copies: the first by (doc_id, hash of the text).
+
+    Rows are judged by their texts here: a doc_id that names two texts does not make those one group, so no
+    text goes unless a near copy of it, or one it is linked with, stays. Rows equal in both go or stay together;
+    rows without words or with a null doc_id stay.
+    """
+    sketch, classes, label = class_components(docs)
+    place = F.struct("doc_id", "thash")
+    by_class = written(first_places(classes, label), "first-places")
+    gone = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").select("k1", "k2", place.alias("place")).join(by_class, ["k1", "k2"])
+    gone = gone.where(F.col("place") != F.col("first")).select(F.col("place.doc_id").alias("_gone_id"), F.col("place.thash").alias("_gone_hash")).distinct()
+    gone = written(gone, "gone")
+    own = docs.select(F.struct("*").alias("_row"))
+    row = F.col("_row")
+    out = own.join(gone, (row["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(row["text"]) == F.col("_gone_hash")), "left_anti")
+    return out.select("_row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
