@@ -11,13 +11,13 @@ a band, a band's values a bucket. What is done with the buckets:
    give n - 1 pairs. The floor lies so far below the similarity that it loses less than the bands do; the
    callers state by how much.
 3. Star pairs are verified on full sets, and their links make components (large and small stars).
-4. A star can miss a link between two members that are both unlike its centre. In groups that span
-   several components each member outside the largest one is paired with the most alike one of another,
-   and verified; then all alike pairs that still lie across components are verified inside a task, each in the
-   first band that it shares. Only links leave that task.
+4. A star can miss a link between two members that are both unlike its centre. In groups that span several
+   components all alike pairs that lie across components are verified inside a task, each in the first band
+   that it shares. Only links leave that task.
 
-Buckets of more than ``BLOCK`` nodes are one group without step 2's search; in step 4 the members outside the
-largest component are dealt against all others in blocks.
+Buckets of more than ``BLOCK`` nodes are one group without step 2's search. Before step 4 each member outside its
+largest component is paired with the most alike one of another and verified, which joins most of what belongs
+together; in step 4 those still outside are dealt against all others in blocks.
 """
 
 from __future__ import annotations
@@ -353,7 +353,7 @@ def open_members(groups: DataFrame, label: DataFrame) -> DataFrame:
     most = size.groupBy("bucket", "a").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
     spread = most.select(F.col("bucket").alias("_bucket"), F.col("a").alias("_a"), F.col("m.component").alias("main"), F.col("all").alias("all"), (F.col("all") - F.col("m.k")).alias("others"))
     spread = written(spread, "open-groups")
-    back = reread(groups).where("n > 2").join(spread, (F.col("bucket") == F.col("_bucket")) & (F.col("a") == F.col("_a")))
+    back = groups.where("n > 2").join(spread, (F.col("bucket") == F.col("_bucket")) & (F.col("a") == F.col("_a")))
     back = back.join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     blocks = F.when(F.col("all") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("all") / BLOCK)).cast("int")
     rest = F.when(F.col("all") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("others") / BLOCK)).cast("int")
@@ -436,8 +436,6 @@ def inside_links(members: DataFrame, texts: DataFrame, sets: Sets, bins: int, ro
             ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy().copy()
             kinds, comp = np.unique(comp, return_inverse=True)
             root = np.arange(len(kinds))
-            own: dict[int, np.ndarray] = {}
-            text = t.column("text")
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -445,17 +443,11 @@ def inside_links(members: DataFrame, texts: DataFrame, sets: Sets, bins: int, ro
                     x = root[x]
                 return x
 
-            def one(k: int) -> np.ndarray:
-                if k not in own:
-                    if len(own) > 4 * BLOCK:
-                        own.clear()
-                    own[k] = sets(text.slice(k, 1))[0]
-                return own[k]
-
+            own = [x for part in slices(t, "text") for x in _split(*sets(part.column("text")))]
             out: list[tuple[int, int]] = []
             for i, j, _ in _eligible(t, bins, rows, floor):
                 for x, y in zip(i.tolist(), j.tolist()):
-                    if find(comp[x]) != find(comp[y]) and alike(one(x), one(y), similar):
+                    if find(comp[x]) != find(comp[y]) and alike(own[x], own[y], similar):
                         root[find(comp[x])] = find(comp[y])
                         out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
             if out:
@@ -479,15 +471,15 @@ def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets
     drop_written(pairs)
     label = written(components(links), "labels")
     known = lambda: label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    more = written(best_pairs(open_members(groups, label), bins, rows, floor), "more-pairs")
-    if more.head(1):
+    if groups.where(F.col("n") > BLOCK).head(1):
+        more = written(best_pairs(open_members(groups.where(F.col("n") > BLOCK), label), bins, rows, floor), "more-pairs")
         label = written(components(known().unionByName(verified(more, near, sets, similar))), "labels")
-        left = written(still_open(open_members(groups, label), bins, rows, floor), "still-open")
-        if left.head(1):
-            last = written(inside_links(left, near, sets, bins, rows, floor, similar), "inside-links")
-            if last.head(1):
-                label = written(components(known().unionByName(last)), "labels")
-        drop_written(left)
-    for x in (groups, near, more, links):
+        drop_written(more)
+    left = written(still_open(open_members(groups, label), bins, rows, floor), "still-open")
+    if left.head(1):
+        last = written(inside_links(left, near, sets, bins, rows, floor, similar), "inside-links")
+        if last.head(1):
+            label = written(components(known().unionByName(last)), "labels")
+    for x in (groups, near, links, left):
         drop_written(x)
     return label

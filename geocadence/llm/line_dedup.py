@@ -7,7 +7,7 @@
    probability 0.9998 and those of 0.9 with 1 - 5e-7.
 3. ``buckets.linked``: stars inside buckets, exact Jaccard of full shingle sets (0.8), distributed union-find, and
    a second look where a star may have missed a link. Pairs that share a bucket are verified unless fewer
-   than FLOOR of the 36 values agree, whose probability at 0.8 is 8e-8; lines of fewer than 36 shingles, whose
+   than FLOOR of the 36 values agree, whose probability at 0.8 is 3e-6 (the bands lose 2e-4); lines of fewer than 36 shingles, whose
    borrowed values are not independent, are verified whatever agrees.
 4. Of each component the first line by (doc_id, text hash, line number) stays; all others go.
 
@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import by_part, dealt, linked, log2_parts, meet
-from .common import BYTE_CODE, IS_SPACE, LOWER, as_i64, bloom_bits, bloom_has, drop_written, mix, reread, shuffle_partitions, slices, span_hash, table, text_bytes, written
+from .common import IS_SPACE, LOWER, RADIX, as_i64, bloom_bits, bloom_has, drop_written, mix, reread, shuffle_partitions, slices, span_hash, table, text_bytes, written
 
 SHINGLE = 8
 ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
 SIMILAR = (80, 100)
-FLOOR = 15
+FLOOR = 17
 FLUSH = 1 << 15
+CHARS_AT_ONCE = 1 << 15
 
 
 def _lines(column: pa.Array) -> tuple:
@@ -60,39 +61,63 @@ def _keys(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())]), "<u8").reshape(-1, 2)
 
 
-def char_shingles(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-character shingles of the spans, and the span of each; A-Z lower-cased."""
+def char_shingles(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(hashes, spans, first span, last span + 1): all k-character shingles of a run of some CHARS_AT_ONCE bytes of
+    spans at a time, so that work arrays stay in the cache; A-Z lower-cased. ``spans`` counts from the first one."""
     low = LOWER[buf]
-    heads = np.flatnonzero((buf & 0xC0) != 0x80)
-    edge = np.append(heads, len(buf))
-    a, b = np.searchsorted(heads, start), np.searchsorted(heads, stop)
-    n = np.maximum(1, b - a - k + 1) * (b > a)
-    of = np.repeat(np.arange(len(start)), n)
-    first = np.arange(len(of)) + np.repeat(a - (np.cumsum(n) - n), n)
-    # only the one shingle of a short line ends before its k characters do
-    last = first + k
-    short = np.flatnonzero((n == 1) & (b - a < k))
-    last[np.cumsum(n)[short] - 1] = b[short]
-    x, y = edge[first], edge[last]
-    # eight bytes are one number; shingles with longer characters are hashed as spans
-    words = np.ndarray((len(low) + 1,), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]).data, 0, (1,))
-    g = mix(words[x])
-    odd = np.flatnonzero(y - x != 8)
-    if len(odd):
-        g[odd] = span_hash(BYTE_CODE[low], x[odd], y[odd])
-    return g, of
-
-
-def line_signatures(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """n x BINS least 16-bit values; an empty bin borrows from a filled one that a hash of (bin, attempt) picks."""
-    bin_ = ((g >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    sig = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
-    # the low half of a mixed hash does not follow its high half, which is the bin
-    np.minimum.at(sig, of * BINS + bin_, g.astype(np.uint32))
-    sig = sig.reshape(n, BINS)
-    empty = sig == 0xFFFFFFFF
+    at = 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + CHARS_AT_ONCE, "right")))
+        lo, hi = int(start[at]), int(stop[end - 1])
+        part = low[lo:hi]
+        chars = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
+        if len(chars) == len(part):
+            a, b = start[at:end] - lo, stop[at:end] - lo
+        else:
+            upto = np.zeros(len(part) + 1, np.int32)
+            np.cumsum((part & 0xC0) != 0x80, out=upto[1:])
+            a, b = upto[start[at:end] - lo].astype(np.int64), upto[stop[at:end] - lo].astype(np.int64)
+        # a polynomial of k characters by doubling; past the end of a span it is not looked at
+        h, size, done = chars.astype(np.uint64) + np.uint64(1), 1, None
+        power, offset, rest = RADIX, 0, k
+        while True:
+            if rest & 1:
+                done = h if done is None else done[: max(0, len(h) - offset)] + np.uint64(pow(RADIX, offset, 1 << 64)) * h[offset:][: len(done)]
+                offset += size
+            rest >>= 1
+            if not rest:
+                break
+            h = h[: max(0, len(h) - size)] + np.uint64(power) * h[size:]
+            size, power = 2 * size, power * power & (1 << 64) - 1
+        n = b - a - k + 1
+        whole = np.flatnonzero(n > 0)
+        inside = np.zeros(len(chars) + 1, np.int8)
+        inside[a[whole]] += 1
+        inside[b[whole] - k + 1] -= 1
+        g = mix(done[np.cumsum(inside[: len(done)], dtype=np.int8).view(bool)])
+        of = np.repeat(whole, n[whole])
+        short = np.flatnonzero((n <= 0) & (b > a))
+        if len(short):
+            g = np.concatenate([g, mix(span_hash(chars.astype(np.uint64) * np.uint64(2) + np.uint64(1), a[short], b[short]))])
+            of = np.concatenate([of, short])
+        yield g, of, at, end
+        at = end
+
+
+def line_signatures(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n x BINS least 16-bit values of the spans, and which have fewer shingles than bins; an empty bin borrows from a
+    filled one that a hash of (bin, attempt) picks."""
+    n = len(start)
+    all_, count = np.full((n, BINS), 0xFFFFFFFF, np.uint32), np.zeros(n, np.int64)
+    for g, of, lo, hi in char_shingles(buf, start, stop):
+        sig = all_[lo:hi].reshape(-1)
+        bin_ = (g >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)
+        # the low half of a mixed hash does not follow its high half, which is the bin
+        np.minimum.at(sig, of * BINS + bin_.view(np.int64), g.astype(np.uint32))
+        count[lo:hi] = np.bincount(of, minlength=hi - lo)
+    empty = all_ == 0xFFFFFFFF
     rest = np.flatnonzero(empty.any(axis=1) & ~empty.all(axis=1))
-    part, hole = sig[rest], empty[rest]
+    part, hole = all_[rest], empty[rest]
     attempt = 0
     numbers = np.arange(BINS, dtype=np.uint64)
     own = part.copy()
@@ -103,8 +128,8 @@ def line_signatures(g: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         part[r, c] = own[r, pick[c]]
         gone[r, c] = False
         attempt += 1
-    sig[rest] = part
-    return (mix(sig.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    all_[rest] = part
+    return (mix(all_.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16), count < BINS
 
 
 RECORD = np.dtype([("k", "<u8", 2), ("last", "u1"), ("doc", "<i8"), ("th", "<i8"), ("no", "<i4"), ("n", "<i8"), ("few", "u1"), ("sig", "<u2", BINS)])
@@ -148,8 +173,10 @@ def line_nodes(docs: DataFrame) -> DataFrame:
                 k = x["k"][order]
                 new = np.append(True, (k[1:] != k[:-1]).any(axis=1)) if len(k) else np.zeros(0, bool)
                 once, back = order[new], np.cumsum(new) - 1
-                g, of = char_shingles(buf, start[once], stop[once])
-                sig, few = line_signatures(g, of, len(once)), np.bincount(of, minlength=len(once)) < BINS
+                # in the order of the text, so that a run of lines is a run of bytes
+                by_place = np.argsort(once)
+                sig, few = np.empty((len(once), BINS), np.uint16), np.empty(len(once), bool)
+                sig[by_place], few[by_place] = line_signatures(buf, start[once[by_place]], stop[once[by_place]])
                 x["sig"][order], x["few"][order] = sig[back], few[back]
                 held.append(_first_places(x))
                 if sum(map(len, held)) >= FLUSH:
@@ -204,14 +231,16 @@ def line_texts(docs: DataFrame, nodes: DataFrame):
 
 
 def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text, as 48 bits of their hashes below 16 bits of its place in the run."""
     buf, off = text_bytes(column)
-    g, of = char_shingles(buf, off[:-1], off[1:])
-    order = np.lexsort((g, of))
-    g, of = g[order], of[order]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
-    g, of = g[fresh], of[fresh]
-    return g, np.searchsorted(of, np.arange(len(off)))
+    values, counts = [], []
+    for g, of, lo, hi in char_shingles(buf, off[:-1], off[1:]):
+        key = np.sort(of.astype(np.uint64) << np.uint64(48) | g >> np.uint64(16))
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        counts.append(np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=hi - lo))
+        values.append(key & np.uint64((1 << 48) - 1))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(values or [none]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [none.astype(np.int64)]))])
 
 
 def kept_places(docs: DataFrame) -> DataFrame:
