@@ -2,17 +2,22 @@
 
 A text is cut before each run of spaces into pre-tokens (no vocabulary piece holds a space after
 another character, so the best segmentation of a text is that of its pre-tokens). Distinct pre-tokens
-that are not known yet are put in a trie; a depth-first walk computes, once per shared prefix, the best
-unigram score of the prefix and the number of pieces on that path, and stores the counts of the
-terminals. Texts then sum the counts of their pre-tokens. Everything happens where the texts are: no
-shuffle, and the store of counts is bounded (``CACHE_WORDS``) and refilled when full.
-
-Semantics: pieces and scores are those of the vocabulary file, read as a unigram model; a space counts
-as U+2581 and a text gets one in front; a character that no piece covers costs the lowest score less 10
-and counts as its UTF-8 bytes; of equal scores the path with the longer last piece wins.
-
-Cases: null and empty texts have 0 tokens; repeated rows are counted alike; empty tables give empty
-results; extra columns are dropped by ``token_counts`` except those named in ``keep``.
+that are not known yet are inserted in a trie; one walk over it computes at each node, and so once per shared
+prefix, the best unigram score of the prefix and the number of pieces on that path, and stores the counts
+of the terminals. Every node carries the places from which a piece may still go on, each with its node in the trie
+of the vocabulary, so a piece is followed character by character and left where the vocabulary ends. Texts
+then sum the counts of their pre-tokens. Everything happens where the texts are: no shuffle, and the
+store of counts, which a worker keeps between tasks, is bounded (``CACHE_WORDS``) and refilled when full.
+
+Semantics: the vocabulary file gives pieces in order of rank, not probabilities, and nothing is trained here; so
+probabilities follow the ranks by Zipf and Mandelbrot's law, log p = -log(rank + ZIPF_SHIFT) less the
+logarithm of their sum. A space counts as U+2581 and a text gets one in front; a character that no piece
+covers costs the lowest score less 10 and counts as its UTF-8 bytes; of equal scores the path with the longer
+last piece wins.
+
+Cases: null and empty texts have 0 tokens; texts and pre-tokens are taken whole, however long; repeated rows are
+counted alike; empty tables give empty results; ``token_counts`` returns the columns named in ``keep``, of which
+one named n_tokens or n_pretokens is replaced, and drops others.
 """
 
 from __future__ import annotations
@@ -30,45 +35,79 @@ VOCABULARY = "piece_bpe_32k.model"
 CACHE_WORDS = 1_000_000
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+ZIPF_SHIFT = 2.7
+END = ""
+
+
+def insert(root: dict, word: str, value) -> None:
+    """Store ``value`` at ``word``'s terminal of a trie of nested dicts."""
+    node = root
+    for c in word:
+        below = node.get(c)
+        if below is None:
+            below = node[c] = {}
+        node = below
+    node[END] = value
 
 
 class Unigram:
-    """Scores of the vocabulary's pieces and the shared-prefix program over sorted pre-tokens."""
+    """Trie of the vocabulary's pieces with their log-probabilities, and the shared-prefix program over pre-tokens."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
-        self.scores = {model.id_to_piece(i): float(model.get_score(i)) for i in plain}
-        self.longest = max(map(len, self.scores))
+        # highest score first; pieces of one score keep the file's order
+        plain.sort(key=lambda i: (-model.get_score(i), i))
+        weight = 1.0 / (np.arange(len(plain)) + 1 + ZIPF_SHIFT)
+        logs = np.log(weight / weight.sum())
+        self.scores = {model.id_to_piece(i): float(x) for i, x in zip(plain, logs)}
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.pieces: dict = {}
+        for piece, score in self.scores.items():
+            insert(self.pieces, piece, score)
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """Pieces of each word; ``words`` are distinct and sorted, so common prefixes stand together."""
+        """Pieces of each of the distinct ``words``."""
         out = np.zeros(len(words), np.int64)
-        best, pieces = [0.0], [0]
-        get, longest = self.scores.get, self.longest
-        last = ""
+        trie: dict = {}
         for n, word in enumerate(words):
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
-                shared += 1
-            del best[shared + 1 :], pieces[shared + 1 :]
-            for d in range(shared + 1, len(word) + 1):
-                top, of = -np.inf, 0
-                for k in range(max(0, d - longest), d):
-                    s = get(word[k:d])
-                    if s is not None and best[k] + s > top:
-                        top, of = best[k] + s, pieces[k] + 1
-                if word[d - 1] not in self.scores:
-                    s = best[d - 1] + self.unknown
-                    if s > top:
-                        top, of = s, pieces[d - 1] + len(word[d - 1].encode())
+            insert(trie, word, n)
+        start, unknown = self.pieces, self.unknown
+        # by depth, along the path from the root: best score, its pieces, and (place, vocabulary node) still followed
+        best, number, follows = [0.0], [0], [[]]
+        todo = [(0, END, trie)]
+        while todo:
+            depth, c, node = todo.pop()
+            if depth:
+                del best[depth:], number[depth:], follows[depth:]
+                top, of, on = -1e300, 0, []
+                for k, at in follows[depth - 1]:
+                    at = at.get(c)
+                    if at is not None:
+                        on.append((k, at))
+                        s = at.get(END)
+                        if s is not None and best[k] + s > top:
+                            top, of = best[k] + s, number[k] + 1
+                at = start.get(c)
+                s = None
+                if at is not None:
+                    on.append((depth - 1, at))
+                    s = at.get(END)
+                if s is not None:
+                    if best[depth - 1] + s > top:
+                        top, of = best[depth - 1] + s, number[depth - 1] + 1
+                elif best[depth - 1] + unknown > top:
+                    top, of = best[depth - 1] + unknown, number[depth - 1] + len(c.encode())
                 best.append(top)
-                pieces.append(of)
-            out[n] = pieces[len(word)]
-            last = word
+                number.append(of)
+                follows.append(on)
+            for x, below in node.items():
+                if x is END:
+                    out[below] = number[depth]
+                else:
+                    todo.append((depth + 1, x, below))
         return out
 
 
@@ -111,9 +150,7 @@ class Counter:
         if fresh.any():
             raw, at = buf.tobytes(), first[fresh]
             words = [raw[a:b].decode().replace(" ", SPACE_MARK) for a, b in zip(start[at].tolist(), end[at].tolist())]
-            order = sorted(range(len(words)), key=words.__getitem__)
-            counts = np.zeros(len(words), np.int32)
-            counts[order] = self.model.counts([words[i] for i in order])
+            counts = self.model.counts(words).astype(np.int32)
             where = np.searchsorted(self.keys, keys[fresh])
             self.keys, self.known = np.insert(self.keys, where, keys[fresh]), np.insert(self.known, where, counts)
             place = np.searchsorted(self.keys, keys)
@@ -121,24 +158,34 @@ class Counter:
         return tokens, np.bincount(row, minlength=n).astype(np.int64)
 
 
+#: of this worker, by vocabulary file
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def token_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens and n_pretokens of every whole text."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
-    base = docs.select(*keep, F.col(text).alias("_text"))
-    schema = base.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).withColumn("n_pretokens", F.lit(0).cast("long")).schema
+    own = [c for c in keep if c not in ("n_tokens", "n_pretokens")]
+    base = docs.select(F.struct(*own).alias("row"), F.col(text).alias("text"))
+    schema = base.select("row").withColumns({"n_tokens": F.lit(0).cast("long"), "n_pretokens": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        known = counter(vocabulary)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                tokens, words = counter.count(part.column("_text"))
-                out = part.select([f for f in part.schema.names if f != "_text"])
-                yield out.append_column("n_tokens", pa.array(tokens)).append_column("n_pretokens", pa.array(words))
+            for part in slices(batch, "text"):
+                tokens, words = known.count(part.column("text"))
+                yield pa.record_batch({"row": part.column("row"), "n_tokens": pa.array(tokens), "n_pretokens": pa.array(words)})
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema).select("row.*", "n_tokens", "n_pretokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
