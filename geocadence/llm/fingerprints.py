@@ -6,26 +6,29 @@ on a logarithmic scale: 65 bytes, 130 hex digits. Two digests are compared by th
 steps between their buckets plus the length steps, bounded by ``BOUND`` and turned into a likeness
 of 0 to 1.
 
-``neighbours`` pairs each document with the next by doc_id without a global sort: documents are dealt
-to ranges between split points of doc_id, sorted inside each range as a stream, and the first document
-of each range also goes to the range before it. Texts are shuffled once.
-
-Cases: null counts as empty; empty and one-byte texts have an all-zero digest with length 0 or 1;
-equal texts have equal digests; equal doc_ids are ordered by text; a single document is its own next.
-Null doc_ids come first. Empty tables give empty results.
+``neighbours`` pairs each document with the next by (doc_id, hash of the text, text) without a global sort: rows
+are dealt to ranges of that key, as many as the bytes of the table need, sorted inside each range as a stream,
+and the first document of each range also goes to the range before it. Texts are shuffled once.
+
+Cases: null counts as empty; empty and one-byte texts have an all-zero digest with length 0 or 1; texts are taken
+whole, however long; equal texts have equal digests; rows of one doc_id are ordered by the hash of their text, so many
+of them are several ranges; a single document is its own next. Null doc_ids come first. Empty tables give empty
+results. ``with_fingerprint`` keeps all columns but one of the name it adds, which it replaces.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_partitions, slices, table, text_bytes
+from .common import mix, reread, shuffle_partitions, slices, table, text_bytes, written
 
 BUCKETS = 256
 BOUND = 256
@@ -88,40 +91,40 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return base.mapInArrow(run, base.withColumn(out, F.lit("")).schema)
 
 
-def _bucket(key: Column, points: list[int]) -> Column:
-    """Number of split points <= key, by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < points[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(points)))
+RANGE_BYTES = 16 << 20
 
 
-def neighbours(docs: DataFrame, per_range_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, text, range, tail): documents dealt to doc_id ranges, each range ending with the first
-    document of the next one (``tail`` 1; 2 for the overall first, which follows the last)."""
+def neighbours(docs: DataFrame, per_range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, text, range, tail): documents dealt to ranges, each range ending with the first document of the
+    next one (``tail`` 1; 2 for the overall first, which follows the last)."""
     spark = docs.sparkSession
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(2, shuffle_partitions(spark)) * 4
-    probs = [i / ranges for i in range(1, ranges)]
-    points = docs.select(F.percentile_approx("doc_id", probs, 20_000)).first()[0] or []
-    points = sorted(set(points))
-    ranged = d.withColumn("range", _bucket(F.col("doc_id"), points))
-    # one key per range: at most ``ranges`` rows, whatever the size of the table
-    order = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
-    keys = docs.select("doc_id", F.col("doc_id").isNotNull().alias("k")).withColumn("range", _bucket(F.col("doc_id"), points))
-    firsts = sorted((r["range"], r["m"]["k"], r["m"]["id"]) for r in keys.groupBy("range").agg(F.min(F.struct("k", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("m")).collect())
-    moves = [(b, firsts[(i + 1) % len(firsts)], 1 if i + 1 < len(firsts) else 2) for i, (b, _, _) in enumerate(firsts)]
-    to = spark.createDataFrame([(f[0], b, t) for b, f, t in moves] or [], "range int, _to int, _tail int")
-    ids = [f[2] for f in firsts if f[1]]
-    first_rows = ranged.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if any(not f[1] for f in firsts) else F.col("doc_id").isin(ids))
-    first_rows = first_rows.groupBy("range").agg(F.min(order).alias("m")).join(F.broadcast(to), "range")
-    tails = first_rows.select(F.when(F.col("m.k"), F.col("m.id")).alias("doc_id"), F.col("m.text").alias("text"), F.col("_to").alias("range"), F.col("_tail").alias("tail"))
-    both = ranged.withColumn("tail", F.lit(0)).unionByName(tails)
-    return both.repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    key = F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h")
+    slim = d.select(*key, F.octet_length("text").alias("size"))
+    keys = written(slim, "text-keys")
+    total = keys.select(F.sum("size")).first()[0] or 0
+    ranges = max(2 * shuffle_partitions(spark), -(-total // per_range_bytes))
+    # one key a range: the first of each, from the keys alone
+    dealt = reread(keys).repartitionByRange(ranges, "k", "id", "h")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("k", "id", "h")).alias("m")).collect()
+    points = sorted((bool(r["m"]["k"]), r["m"]["id"], r["m"]["h"]) for r in firsts)
+    held = spark.sparkContext.broadcast(points)
+
+    @F.pandas_udf("range int, first boolean")
+    def place(k: pd.Series, i: pd.Series, h: pd.Series) -> pd.DataFrame:
+        points = held.value
+        own = list(zip(k.tolist(), i.tolist(), h.tolist()))
+        at = [bisect.bisect_right(points, x) - 1 for x in own]
+        return pd.DataFrame({"range": np.array(at, np.int32), "first": [points[j] == x for j, x in zip(at, own)]})
+
+    ranged = d.withColumn("at", place(*key)).select("doc_id", "h", "text", "at.range", "at.first")
+    # the one key of a range that is first may be several rows: of those the least text
+    heads = ranged.where("first").groupBy("range", "doc_id", "h").agg(F.min("text").alias("text"))
+    last = len(points) - 1
+    before = F.when(F.col("range") == 0, F.lit(last)).otherwise(F.col("range") - 1).cast("int")
+    tails = heads.select("doc_id", "h", "text", before.alias("range"), F.when(F.col("range") == 0, 2).otherwise(1).alias("tail"))
+    both = ranged.select("doc_id", "h", "text", "range", F.lit(0).alias("tail")).unionByName(tails)
+    return both.repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "h", "text").select("doc_id", "text", "range", "tail")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
