@@ -2,18 +2,21 @@
 
 1. Sources in code point order (null last) weigh 5, 2, 1, repeating, and share ``share`` of all
    tokens; a target stops at ``max_epochs`` times its source and the excess is reshared by weight.
-2. Each source is dealt by hash into shards of about ``shard_tokens`` tokens. Blocks of
-   ``block_tokens`` tokens go to the (source, shard) cells by highest Sainte-Lague quotients
-   votes / (2 q + 1), which gives an integer quota of blocks per cell.
+2. Each source is dealt by hash into shards of about ``shard_tokens`` tokens (more where the total is so large
+   that there would be over MOST_CELLS of them). Equal blocks of at most ``block_tokens`` tokens, and so small
+   that the smallest target is BLOCKS_PER_TARGET of them, go to the (source, shard) cells by highest Sainte-Lague
+   quotients votes / (2 q + 1), which gives an integer quota of blocks per cell.
 3. In a cell, documents stand in a seeded hash order; their tokens form one stream, cut into blocks.
    The quota takes whole passes over the stream and then its first blocks, so only one document
    of a cell is ever cut and none is taken more than ``max_epochs`` times.
 
-Source and cell totals meet on the driver: their number is that of sources plus total tokens over
-``shard_tokens``, never that of documents. Hot sources are split over their shards.
+Source and cell totals meet on the driver: their number is that of sources plus at most MOST_CELLS, never that of
+documents; they are broadcast up to BROADCAST_ROWS rows and joined beyond. Hot sources are split over their shards.
 
-Cases: null or blank text has size 0 and takes 0; a source of size 0 has target 0; repeated rows are
-documents of their own; an empty table gives an empty result; extra columns are kept.
+Cases: null or blank text has size 0 and takes 0; texts are taken whole, however long; a source of size 0 has target
+0; repeated rows are documents of their own, in any order among themselves, and a tie of quotients goes to the first
+source and shard; an empty table gives an empty result; ``mix`` keeps all columns, whatever their names, and
+brings text and n_chars up to date.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 BLOCK_TOKENS = 128
+BLOCKS_PER_TARGET = 64
 SHARD_TOKENS = 1 << 21
+MOST_CELLS = 1 << 16
+BROADCAST_ROWS = 100_000
 SEED = 20240607
 
 
@@ -96,10 +102,14 @@ def plan(docs: DataFrame, tokens: Column | None = None, *, share=SHARE, weights=
     by_source = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     names, sizes = [r["source"] for r in by_source], np.array([r["n"] for r in by_source], np.int64)
     goal = targets(names, sizes, weights, share, max_epochs)
+    shard_tokens = max(shard_tokens, int(sizes.sum()) // MOST_CELLS)
+    if (goal > 0).any():
+        block_tokens = max(1, min(block_tokens, int(goal[goal > 0].min()) // BLOCKS_PER_TARGET))
     shards = np.maximum(1, -(-sizes // shard_tokens))
+    small = lambda table, n: F.broadcast(table) if n <= BROADCAST_ROWS else table
     rows = [(n, int(s), float(g), int(k)) for n, s, g, k in zip(names, sizes, goal, shards)]
     known = spark.createDataFrame(rows or [], "_source string, source_size long, target double, _shards long")
-    dealt = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.col("_shards")))
+    dealt = sized.join(small(known, len(rows)), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.col("_shards")))
     cells = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("n")).collect()
     at = {n: i for i, n in enumerate(names)}
     n = np.array([c["n"] for c in cells], np.int64)
@@ -111,7 +121,7 @@ def plan(docs: DataFrame, tokens: Column | None = None, *, share=SHARE, weights=
     quota = sainte_lague(votes, int(round(float(votes.sum()) / block_tokens)), most)
     given = [(c["source"], int(c["_shard"]), int(x), int(min(q * block_tokens, max_epochs * x))) for c, x, q in zip(cells, n, quota)]
     quotas = spark.createDataFrame(given or [], "_qs string, _qk long, _cell long, _take long")
-    dealt = dealt.join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qk")))
+    dealt = dealt.join(small(quotas, len(given)), F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qk")))
     before = F.coalesce(F.sum("size").over(W.partitionBy("source", "_shard").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rest = F.when(F.col("_cell") > 0, F.col("_take") % F.col("_cell")).otherwise(F.lit(0))
     passes = F.when(F.col("_cell") > 0, F.floor(F.col("_take") / F.col("_cell"))).otherwise(F.lit(0))
