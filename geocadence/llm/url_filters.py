@@ -10,9 +10,10 @@ distinct keys (a bounded number). Cascades are broadcast only while their measur
 ``broadcast_bytes``; beyond that rows and cascades meet by shard.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule and the cascade's
-answer for the empty host (unlisted). Repeated rows are judged alike; empty tables give empty
-results; extra columns of the input are kept by ``judge`` and never clash with its own work columns,
-which start with ``_uf_``.
+answer for the empty host (unlisted). Urls are taken whole, however long. Repeated rows are judged alike; of
+rules that fit, the longest wins (two of one length that fit one url are the same rule); empty tables give
+empty results. ``judge`` keeps the columns of the input; those named host, path, rule or verdict are replaced by
+its own, and names that start with ``_uf_`` are its work columns.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import reread, table, written
 
 RULES = (
     ("allow", "org", "/"),
@@ -39,6 +40,7 @@ HASHES = 7
 LATER_BITS_PER_KEY = 2
 LATER_HASHES = 1
 SHARD_KEYS = 100_000
+SALT_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
@@ -69,10 +71,8 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _hashes(keys: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.array([xxhash.xxh3_128_intdigest(k.encode(), seed=level) for k in keys], dtype=object)
-    low = np.array([int(x) & 0x7FFFFFFFFFFFFFFF for x in both], np.int64)
-    high = np.array([int(x) >> 65 for x in both], np.int64) | 1
-    return low, high
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k.encode(), seed=level) for k in keys]), "<u8").reshape(-1, 2) >> np.uint64(1)
+    return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64) | 1
 
 
 def _positions(keys: list[str], level: int, bits: int, hashes: int) -> np.ndarray:
@@ -159,13 +159,17 @@ def listed_column(rows: DataFrame, key: str, universe: DataFrame, out: str = "li
     dealt = rows.withColumn(out, F.lit(True)).withColumn("_uf_shard", shard_of(F.col(key), shards))
 
     def answered(batch, levels: dict):
-        keys = [k if k is not None else "" for k in batch.column(key).to_pylist()]
-        which = batch.column("_uf_shard").to_numpy()
+        # each distinct key of a batch is hashed once; equal keys have equal shards
+        column = batch.column(key).fill_null("")
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+        keys, of = column.dictionary.to_pylist(), column.indices.to_numpy()
+        which = np.zeros(len(keys), np.int64)
+        which[of] = batch.column("_uf_shard").to_numpy()
         got = np.zeros(len(keys), bool)
         for s in np.unique(which):
             at = np.flatnonzero(which == s)
             got[at] = cascade_has(levels.get(int(s), []), [keys[i] for i in at])
-        return batch.set_column(batch.schema.get_field_index(out), out, pa.array(got))
+        return batch.set_column(batch.schema.get_field_index(out), out, pa.array(got[of]))
 
     if size <= BROADCAST_BYTES:
         held = rows.sparkSession.sparkContext.broadcast(
@@ -179,10 +183,11 @@ def listed_column(rows: DataFrame, key: str, universe: DataFrame, out: str = "li
 
         return dealt.mapInArrow(run, schema).drop("_uf_shard")
 
-    # Too large to broadcast: a shard's rows and its cascade meet in a task; hot keys are split by salt.
-    salts = 16
-    left = dealt.withColumn("_uf_salt", F.floor(F.rand(7) * salts).cast("int"))
-    right = built.withColumn("_uf_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Too large to broadcast: a shard's rows and its cascade meet in tasks of some SALT_ROWS rows; hot keys are split.
+    sizes = written(dealt.groupBy("_uf_shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_uf_salts")), "shard-salts")
+    left = dealt.join(sizes, "_uf_shard").withColumn("_uf_salt", F.floor(F.rand(7) * F.col("_uf_salts")).cast("int")).drop("_uf_salts")
+    salts = reread(sizes).select(F.col("_uf_shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("_uf_salts") - 1)).alias("_uf_salt"))
+    right = built.join(salts, "shard")
     names = [f.name for f in schema]
 
     def meet(rows_: pa.Table, filters: pa.Table) -> pa.Table:
