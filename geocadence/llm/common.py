@@ -6,6 +6,7 @@ shares it, so a lost executor never takes an intermediate table along.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,8 @@ ARROW_ROWS = 250
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ARROW_ROWS rows: whole texts are long, and each executor core holds a few batches
-    outside the heap, on both sides of the socket. Never raises a smaller setting."""
+    outside the heap, on both sides of the socket. Never raises a smaller setting. Results are lazy and read the
+    setting when they run, after the operator has returned, so it stays for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -39,11 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's checkpoint folder; in a single local process (tests), where none is named, a temporary one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder; executors need one that all of them and the driver share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="scratch-")
     return _own_dir

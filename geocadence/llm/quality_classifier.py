@@ -9,9 +9,10 @@ The net is trained on the driver from at most ``SAMPLE_ROWS`` labelled documents
 doc_id among rows whose crc32(doc_id) mod 3 is not 1); of these only the encoded passages travel.
 Scoring is one pass over whole texts on the executors, without a shuffle.
 
-Cases: null, empty and wordless texts are a bag of one empty passage; without labels of both kinds
-every score is the known share (0.5 without any); repeated rows score alike; empty tables give empty
-results. doc_id, lang, source and labels never enter a score.
+Cases: null, empty and wordless texts are a bag of one empty passage; texts are taken whole, however long; without
+labels of both kinds every score is the known share (0.5 without any); a score of just 0.5 predicts 1; repeated rows
+score alike, and a doc_id labelled twice has its greater label; empty tables give empty results; ``scored`` keeps all
+columns but one of the name it adds, which it replaces. doc_id, lang, source and labels never enter a score.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_rows)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
             for part in slices(batch, "text"):
                 x, row = passages(part.column("text"))
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "quality": part.column("quality"), "x": pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "quality": part.column("quality"), "x": pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     got = rows.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))

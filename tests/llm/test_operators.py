@@ -267,6 +267,36 @@ def test_mixing(docs, rows):
     assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == got.taken.sum()
 
 
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(n, " ".join(f"w{n}" for _ in range(k)), s) for n, (s, k) in enumerate([("a", 40), ("b", 30), ("c", 20), *[("d", 50)] * 100, *[("e", 90)] * 100])]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.05 * g.target.iloc[0] + 1
+
+
+def test_taken_by_hand(docs, rows):
+    """taken of every document, with one cell per source: quotas by highest quotients one block after another."""
+    got = mixing.plan(docs, block_tokens=16).toPandas()
+    size = Counter()
+    for d in rows:
+        size[d[3]] += len(WORD.findall(d[1] or ""))
+    names = sorted(size, key=lambda n: (n is None, n or ""))
+    goal = dict(zip(names, mixing.targets(names, np.array([size[n] for n in names]))))
+    block = max(1, min(16, int(min(g for g in goal.values() if g > 0)) // 64))
+    quota, most = Counter(), {n: -(-2 * size[n] // block) for n in names}
+    for _ in range(round(sum(goal.values()) / block)):
+        best = max((n for n in names if quota[n] < most[n] and goal[n] > 0), key=lambda n: (goal[n] / (2 * quota[n] + 1), -names.index(n)))
+        quota[best] += 1
+    for n in names:
+        g = got[got.source.isna()] if n is None else got[got.source == n]
+        take = min(quota[n] * block, 2 * size[n])
+        assert g.taken.sum() == take
+        # whole passes, and of the rest one document at most is cut
+        passes, rest = divmod(take, size[n]) if size[n] else (0, 0)
+        partly = [t - passes * s for t, s in zip(g.taken, g["size"])]
+        assert sum(partly) == rest and all(0 <= p <= s for p, s in zip(partly, g["size"])) and sum(0 < p < s for p, s in zip(partly, g["size"])) <= 1
+
+
 def test_targets_water_fill():
     got = mixing.targets(["b", None, "a"], np.array([10, 1000, 100]))
     # order a, b, null weighs 5, 2, 1
@@ -291,18 +321,42 @@ def test_mixing_edges(empty, nulls, clash):
 # ---------------------------------------------------------------- tokens
 
 
+def as_unigram(raw, scores):
+    """The vocabulary file as a unigram model with the given scores: same pieces, one enum and the floats replaced."""
+    import struct
+
+    def number(at):
+        n, shift = 0, 0
+        while True:
+            n, shift, at = n | (raw[at] & 127) << shift, shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return n, at
+
+    out, at = bytearray(raw), 0
+    while raw[at] == 0x0A:
+        size, at = number(at + 1)
+        if raw[at] == 0x0A:
+            n, start = number(at + 1)
+            piece = raw[start : start + n].decode()
+            if raw[start + n] == 0x15 and piece in scores:
+                out[start + n + 1 : start + n + 5] = struct.pack("<f", scores[piece])
+        at += size
+    kind = bytes(raw).rindex(b"tok_v0") + len(b"tok_v0")
+    assert raw[kind] == 0x18 and raw[kind + 1] == 2
+    out[kind + 1] = 1
+    return bytes(out)
+
+
 def test_token_counts(docs, rows):
     import public_tokenizers
     import sentencepiece
 
-    raw = bytearray(open(public_tokenizers.path(token_counts.VOCABULARY), "rb").read())
-    at = bytes(raw).rindex(b"tok_v0") + len(b"tok_v0")
-    assert raw[at] == 0x18 and raw[at + 1] == 2
-    raw[at + 1] = 1  # the same pieces and scores as a unigram model
-    model = sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
     unigram = token_counts.Unigram(public_tokenizers.path(token_counts.VOCABULARY))
+    assert sum(np.exp(list(unigram.scores.values()))) == pytest.approx(1)
+    model = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(public_tokenizers.path(token_counts.VOCABULARY), "rb").read(), unigram.scores))
     words = sorted({"▁" + w for d in rows if d[1] and len(d[1]) < 5000 for w in d[1].split(" ") if w and "▁" not in w})
     got = unigram.counts(words)
+    assert unigram.counts(words[::-1]).tolist() == got[::-1].tolist()
     for w, n in list(zip(words, got))[::3]:
         # all segmentations by score: ties may differ in their number of pieces
         best = [(0.0, {0})]
@@ -313,7 +367,7 @@ def test_token_counts(docs, rows):
             top = max(s for s, _ in ways)
             best.append((top, set().union(*(c for s, c in ways if s == top))))
         assert n in best[-1][1], w
-        if len(best[-1][1]) == 1 and all(c in unigram.scores for c in w):
+        if len(best[-1][1]) == 1 and all(c in unigram.scores for c in w) and len(set(best[-1][1])) == 1:
             assert n == len(model.nbest_encode(w[1:], nbest_size=2)[0]), w
     counts = {r.doc_id: (r.n_tokens, r.n_pretokens) for r in token_counts.token_counts(docs).collect()}
     for d in rows:
@@ -330,6 +384,55 @@ def test_token_edges(empty, nulls, clash):
 # ---------------------------------------------------------------- fingerprints
 
 
+def brute_digest(text):
+    """Length code and the quartile of each bucket's count, triplet by triplet."""
+    raw = (text or "").encode()
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    counts = [0] * 256
+    for j in range(len(raw) - 2):
+        counts[mix((raw[j] | raw[j + 1] << 8 | raw[j + 2] << 16) + 1) >> 56] += 1
+    q = sorted(counts)
+    codes = [sum(c > q[64 * k - 1] for k in (1, 2, 3)) for c in counts] if len(raw) >= 3 else counts
+    return min(255, round(12 * np.log2(len(raw) + 1) / 2)), codes
+
+
+def brute_hex(digest):
+    size, codes = digest
+    return bytes([size, *(codes[k] | codes[k + 1] << 2 | codes[k + 2] << 4 | codes[k + 3] << 6 for k in range(0, 256, 4))]).hex()
+
+
+def brute_likeness(a, b):
+    steps = sum(abs(x - y) for x, y in zip(a[1], b[1])) + max(0, abs(a[0] - b[0]) - 1)
+    return 1 - min(256, steps) / 256
+
+
+def test_fingerprint_digests(docs, rows):
+    """Every digest and likeness, character by character (the longest text aside), with several ranges."""
+    some = docs.where("doc_id <> 905")
+    order = sorted((d[0], d[1] or "") for d in rows if d[0] != 905)
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        n = len(t) // 4
+        own, new, after = (brute_digest(x) for x in (t, t[: len(t) - n] + nxt[:n], nxt))
+        want[(i, brute_hex(own), brute_hex(new), brute_likeness(own, new), brute_likeness(own, after))] += 1
+    got = fingerprints.neighbours(some, per_range_bytes=2000).mapInArrow(fingerprints._edited, fingerprints.SCHEMA).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
+
+
+def test_many_rows_of_one_doc_id_are_several_ranges(spark):
+    rows = [(None if i % 2 else 7, f"text number {i} " * 20) for i in range(400)]
+    near = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), per_range_bytes=4000)
+    assert near.select("range").distinct().count() > 8
+    assert Counter(r.doc_id for r in near.mapInArrow(fingerprints._edited, fingerprints.SCHEMA).collect()) == {None: 200, 7: 200}
+
+
 def test_fingerprints(spark, docs, rows):
     got = fingerprints.neighbours(docs).mapInArrow(fingerprints._edited, fingerprints.SCHEMA).collect()
     order = sorted((d[0], d[1] or "") for d in rows)
@@ -378,6 +481,39 @@ def test_rule_statistics(docs, rows):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and r.kept == (not r.base_failed)
 
 
+def brute_path(x, tree):
+    """Path length of one row in one tree, node by node."""
+    feature, split, left, right, depth = tree
+    k = 0
+    while feature[k] >= 0:
+        k = left[k] if x[feature[k]] <= split[k] else right[k]
+    return depth[k]
+
+
+def test_rule_verdicts(spark, sf_dir):
+    """kept of the whole query: forest and threshold recomputed from the statistics of single texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().groupby("doc_id").quality.max()
+    one = {i: quality_rules.statistics(pa.array([t], pa.string())) for i, t in zip(docs.doc_id, docs.text)}
+    x = {i: quality_rules.features(s)[0] for i, s in one.items() if not quality_rules.base_failed(s)[0]}
+    ids = sorted(x)
+    forest = quality_rules.Forest(np.array([x[i] for i in ids]))
+    score = {i: 2.0 ** (-np.mean([brute_path(x[i], t) for t in forest.trees]) / forest.norm) for i in ids}
+    known = [i for i in ids if i in labels.index]
+    good, bad = (sorted(score[i] for i in known if labels[i] == q) for q in (1, 0))
+    floor = good[int(np.ceil(quality_rules.KEEP_SHARE * len(good))) - 1]
+    worth = lambda t: sum(b > t for b in bad) / max(1, len(bad)) - 10 * sum(g > t for g in good) / len(good)
+    steps = [t for t in sorted({*good, *bad}) if t >= floor]
+    cut = max(steps, key=lambda t: (worth(t), -t))
+    above = [t for t in sorted({*good, *bad}) if t > cut]
+    threshold = (cut + above[0]) / 2 if above else cut
+    got = quality_rules.op8_quality_rules(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.kept == (r.doc_id in score and score[r.doc_id] <= threshold), r
+    assert np.mean([r.kept for r in got if labels.get(r.doc_id) == 1]) >= 0.95
+
+
 def test_isolation_forest_finds_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
@@ -389,8 +525,9 @@ def test_isolation_forest_finds_outliers():
 
 def test_rules_edges(spark, empty, nulls, docs, sf_dir):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.fit(empty, labels)[1] == 2.0
     forest, threshold = quality_rules.fit(docs, labels)
-    assert threshold == 2.0 and quality_rules.judge(empty, forest, threshold).count() == 0
+    assert len(forest.trees) == quality_rules.TREES and 0 < threshold < 1 and quality_rules.judge(empty, forest, threshold).count() == 0
     assert [r.kept for r in quality_rules.judge(nulls, forest, threshold).collect()] == [False, False]
 
 
