@@ -9,6 +9,7 @@ a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geocadence.llm import line_dedup, mixing, near_dedup, packing, quality_classifier
 from geocadence.llm.common import table, written
@@ -17,7 +18,10 @@ from geocadence.llm.common import table, written
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the classifier rejects go. It learns from the labels of ``sf_dir``."""
     net = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.scored(docs, net, "_score").where("_score >= 0.5").select(*docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality_classifier.scored(docs, net, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
