@@ -37,10 +37,11 @@ def series_apply(df: DataFrame, kernel: Callable[..., dict | None], schema: str,
         arrow = to_arrow_schema(out_schema)
         for b in batches:
             rows = []
-            cols = [b.column(i).to_pylist() for i in range(1, b.num_columns)]
-            for k, *parts in zip(b.column(0).to_pylist(), *cols):
-                x = [np.array([np.nan if v is None else v for v in p], float) for p in parts]
-                got = kernel(*x) or {}
+            flat_values = [b.column(i).values.to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)]
+            bounds = [b.column(i).offsets.to_numpy() for i in range(1, b.num_columns)]
+            for n, k in enumerate(b.column(0).to_pylist()):
+                # missing values come as nan
+                got = kernel(*[np.array(v[o[n] : o[n + 1]], float) for v, o in zip(flat_values, bounds)]) or {}
                 rows.append({key: k} | {n: _plain(v) for n, v in got.items()})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -254,6 +255,9 @@ def tmask(t: np.ndarray, green: np.ndarray, swir: np.ndarray, threshold: float =
     return {"clear": clear, "n_clear": int(clear.sum())}
 
 
+SUBSET_ENDMEMBERS = 8
+
+
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Non-negative least squares by the active-set method."""
     n = a.shape[1]
@@ -280,13 +284,35 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unmix(a: np.ndarray, pixels: np.ndarray, sum_to_one: bool = True, weight: float = 1e4) -> tuple[np.ndarray, np.ndarray]:
-    """Fully constrained (or only non-negative) unmixing of rows; fractions and RMSE. The sum is held by a heavy row."""
-    full = np.vstack([a, np.full((1, a.shape[1]), weight)]) if sum_to_one else a
-    out, err = np.full((len(pixels), a.shape[1]), np.nan), np.full(len(pixels), np.nan)
-    for i, p in enumerate(pixels):
-        if np.isfinite(p).all():
-            out[i] = nnls(full, np.append(p, weight) if sum_to_one else p)
-            err[i] = np.sqrt(np.mean((p - a @ out[i]) ** 2))
+    """Fully constrained (or only non-negative) unmixing of rows; fractions and RMSE. The sum is held by a heavy row.
+
+    The best solution is the plain least-squares one of the endmembers that it uses, so of all their subsets'
+    solutions without a negative fraction it is the one with the least residual; each subset is solved for all rows
+    at once. Beyond SUBSET_ENDMEMBERS endmembers each row is solved by the active-set method.
+    """
+    m = a.shape[1]
+    full = np.vstack([a, np.full((1, m), weight)]) if sum_to_one else a
+    out, err = np.full((len(pixels), m), np.nan), np.full(len(pixels), np.nan)
+    good = np.isfinite(pixels).all(axis=1)
+    p = pixels[good]
+    if not len(p):
+        return out, err
+    target = np.column_stack([p, np.full(len(p), weight)]) if sum_to_one else p
+    if m > SUBSET_ENDMEMBERS:
+        best = np.stack([nnls(full, row) for row in target])
+    else:
+        best = np.zeros((len(p), m))
+        least = (target**2).sum(axis=1) if not sum_to_one else np.full(len(p), np.inf)
+        for subset in range(1, 1 << m):
+            used = [k for k in range(m) if subset >> k & 1]
+            x = target @ np.linalg.pinv(full[:, used]).T
+            sse = ((target - x @ full[:, used].T) ** 2).sum(axis=1)
+            better = (x >= 0).all(axis=1) & (sse < least)
+            least = np.where(better, sse, least)
+            best[better] = 0
+            best[np.ix_(better, used)] = x[better]
+    out[good] = best
+    err[good] = np.sqrt(np.mean((p - best @ a.T) ** 2, axis=1))
     return out, err
 
 
@@ -445,6 +471,23 @@ def bfast_monitor(t: np.ndarray, y: np.ndarray, start: float, *, frequency: floa
 BFAST_MONITOR_SCHEMA = "breakpoint double, breakpoint_idx int, magnitude double, sigma double, n_history int, has_break boolean, valid boolean"
 
 
+def _segment_rss(design: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Residual sum of squares of the least-squares fit of v[a:b] for all a, b of at least ``size`` (else infinite):
+    normal equations from running sums, all segments that start together solved at once."""
+    n, p = design.shape
+    x = design / np.maximum(np.abs(design).max(axis=0), 1e-300)
+    y = v - v.mean()
+    whole = np.column_stack([x, y])
+    sums = np.concatenate([np.zeros((1, p + 1, p + 1)), np.cumsum(whole[:, :, None] * whole[:, None, :], axis=0)])
+    rss = np.full((n, n + 1), np.inf)
+    for a in range(n - size + 1):
+        g = sums[a + size :] - sums[a]
+        xx, xy, yy = g[:, :p, :p], g[:, :p, p], g[:, p, p]
+        beta = np.einsum("nij,nj->ni", np.linalg.pinv(xx, rcond=1e-13, hermitian=True), xy)
+        rss[a, a + size :] = np.maximum(yy - (2 * xy * beta).sum(axis=1) + np.einsum("ni,nij,nj->n", beta, xx, beta), 0)
+    return rss
+
+
 def bfast_lite(t: np.ndarray, y: np.ndarray, *, frequency: float = 12.0, order: int = 1, h: float = 0.15, max_breaks: int = 5, min_valid: int = 20) -> dict:
     """Optimal breakpoints of a harmonic trend by dynamic programming over the RSS of segments, chosen by LWZ."""
     ok = np.isfinite(y)
@@ -454,11 +497,7 @@ def bfast_lite(t: np.ndarray, y: np.ndarray, *, frequency: float = 12.0, order:
     p, size = design.shape[1], int(h * n)
     if n < min_valid or size <= p or size > n / 2:
         return {"valid": False, "n_valid": n}
-    rss = np.full((n, n + 1), np.inf)
-    for a in range(n - size + 1):
-        for b in range(a + size, n + 1):
-            e = _ols(design[a:b], v[a:b])[1]
-            rss[a, b] = (e * e).sum()
+    rss = _segment_rss(design, v, size)
     most = min(max_breaks, -(-n // size) - 2)
     cost, back = [rss[0].copy()], []
     for _ in range(max(0, most)):
@@ -538,6 +577,14 @@ def twdtw(ts: np.ndarray, ys: np.ndarray, tp: np.ndarray, yp: np.ndarray, *, alp
     if max_warp is not None:
         cost = np.where(gap > max_warp, np.inf, cost)
     row = cost[0] if subsequence else np.cumsum(cost[0])
+    if max_warp is None:
+        # new[j] = cost[j] + min(before[j], new[j - 1]) is a running minimum once the row's costs are summed
+        for c in cost[1:]:
+            before = row.copy()
+            before[1:] = np.minimum(row[:-1], row[1:])
+            upto = np.cumsum(c)
+            row = upto + np.minimum.accumulate(before - (upto - c))
+        return float(row.min() if subsequence else row[-1])
     for i in range(1, len(yp)):
         new = np.empty(len(ys))
         new[0] = row[0] + cost[i, 0]
@@ -641,23 +688,33 @@ def omnibus(t: np.ndarray, *bands: np.ndarray, enl: float = 4.4, alpha: float =
 OMNIBUS_SCHEMA = "n_changes int, first_change double, last_change double, first_direction int, last_direction int, p_change double, n_dates int"
 
 
-def lasso(x: np.ndarray, y: np.ndarray, lam: float, rounds: int = 100) -> np.ndarray:
-    """Coordinate descent on 1/(2n) |y - x b|^2 + lam |b| with a free intercept in column 0."""
+def lasso(x: np.ndarray, y: np.ndarray, lam: float, rounds: int = 1000, start: np.ndarray | None = None) -> np.ndarray:
+    """Coordinate descent on 1/(2n) |y - x b|^2 + lam |b| with a free intercept in column 0, for each column of ``y``.
+
+    The intercept is profiled out by centring; a sweep works on the Gram matrix, all columns of ``y`` at once.
+    """
+    single = y.ndim == 1
+    y = y[:, None] if single else y
     n = len(y)
-    beta, scale = np.zeros(x.shape[1]), (x * x).mean(axis=0)
-    e = y.copy()
+    mx, my = x[:, 1:].mean(axis=0), y.mean(axis=0)
+    c = x[:, 1:] - mx
+    gram, corr = c.T @ c / n, c.T @ (y - my) / n
+    scale = np.maximum(np.diag(gram), 1e-12)
+    root = np.sqrt(scale)
+    beta = np.zeros((c.shape[1], y.shape[1]))
+    if start is not None:
+        beta[: len(start) - 1] = start[1 : len(beta) + 1]
     for _ in range(rounds):
         most = 0.0
-        for k in range(x.shape[1]):
-            old = beta[k]
-            g = (x[:, k] @ e) / n + scale[k] * old
-            beta[k] = g / scale[k] if k == 0 else np.sign(g) * max(abs(g) - lam, 0) / max(scale[k], 1e-12)
-            if beta[k] != old:
-                e -= x[:, k] * (beta[k] - old)
-                most = max(most, abs(beta[k] - old) * math.sqrt(scale[k]))
+        for k in range(len(beta)):
+            g = corr[k] - gram[k] @ beta + scale[k] * beta[k]
+            new = np.sign(g) * np.maximum(np.abs(g) - lam, 0) / scale[k]
+            most = max(most, float(np.abs(new - beta[k]).max()) * root[k])
+            beta[k] = new
         if most < 1e-4:
             break
-    return beta
+    out = np.vstack([my - mx @ beta, beta])
+    return out[:, 0] if single else out
 
 
 def _ccdc_design(t: np.ndarray, k: int) -> np.ndarray:
@@ -677,60 +734,53 @@ def ccdc(t: np.ndarray, *bands: np.ndarray, conse: int = 6, chi2: float = 0.99,
     limit = special.chi2_quantile(chi2, v.shape[1])
     outlier = special.chi2_quantile(0.999999, v.shape[1])
     noise = np.maximum(np.median(np.abs(np.diff(v, axis=0)), axis=0), 1e-9) if len(v) > 1 else np.ones(v.shape[1])
-    segments, i, keep = [], 0, np.ones(len(x), bool)
+    segments, i = [], 0
+    unit = np.ones(len(x), bool)
 
-    def fit(idx: np.ndarray, k: int):
-        design = _ccdc_design(x[idx] - x[idx[0]], k)
-        beta = np.stack([lasso(design, v[idx, b], lam) for b in range(v.shape[1])], axis=1)
-        e = v[idx] - design @ beta
+    def fit(design: np.ndarray, idx: np.ndarray, k: int, start: np.ndarray | None = None):
+        beta = lasso(design[idx, :k], v[idx], lam, start=start)
+        e = v[idx] - design[idx, :k] @ beta
         return beta, np.sqrt((e**2).sum(axis=0) / max(1, len(idx) - k)), e
 
-    def norm(beta, rmse, first, at, k):
-        e = v[at] - _ccdc_design(x[at] - first, k) @ beta
-        return ((e / np.maximum(rmse, noise)) ** 2).sum(axis=1)
-
-    def close(idx, beta, rmse, k, prob, brk):
+    def close(idx, beta, rmse, prob, brk):
         segments.append({"t_start": x[idx[0]], "t_end": x[idx[-1]], "t_break": brk, "change_prob": prob, "num_obs": len(idx), "rmse": rmse.tolist(), "coefs": [row.tolist() for row in beta.T]})
 
     while i < len(x):
-        j = i + min_obs
-        while j <= len(x) and x[j - 1] - x[i] < min_days:
-            j += 1
+        j = max(i + min_obs, int(np.searchsorted(x, x[i] + min_days)) + 1)
         if j > len(x):
             break
-        idx = np.array([q for q in range(i, j) if keep[q]])
+        idx = i + np.flatnonzero(unit[i:j])
         if len(idx) < min_obs:
             i += 1
             continue
-        beta, rmse, e = fit(idx, 4)
+        design = _ccdc_design(x - x[idx[0]], 8)
+        beta, rmse, e = fit(design, idx, 4)
         slope = np.abs(beta[1] / 1000 * (x[idx[-1]] - x[idx[0]]))
         if (((slope + np.abs(e[0]) + np.abs(e[-1])) / np.maximum(rmse, noise)) ** 2).sum() > limit * 3:
             i += 1
             continue
         k, pos, brk, size = 4, j, None, len(idx)
-        while pos < len(x):
-            ahead = [q for q in range(pos, len(x)) if keep[q]][:conse]
-            if len(ahead) < conse:
-                break
-            d = norm(beta, rmse, x[idx[0]], np.array(ahead), k)
-            if (d > limit).all():
-                brk = x[ahead[0]]
+        # norms of all dates under the model in force
+        norm = lambda: (((v - design[:, :k] @ beta) / np.maximum(rmse, noise)) ** 2).sum(axis=1)  # noqa: E731, B023
+        d, own = norm(), idx.tolist()
+        while pos + conse <= len(x):
+            if (d[pos : pos + conse] > limit).all():
+                brk = x[pos]
                 break
-            if d[0] > outlier:
-                keep[ahead[0]] = False
+            if d[pos] > outlier:
+                unit[pos] = False
             else:
-                idx = np.append(idx, ahead[0])
-                if len(idx) <= 24 or len(idx) >= 1.33 * size:
-                    k = 4 if len(idx) < 18 else 6 if len(idx) < 24 else 8
-                    beta, rmse, _ = fit(idx, k)
-                    size = len(idx)
-            pos = ahead[0] + 1
+                own.append(pos)
+                if len(own) <= 24 or len(own) >= 1.33 * size:
+                    k = 4 if len(own) < 18 else 6 if len(own) < 24 else 8
+                    beta, rmse, _ = fit(design, np.array(own), k, beta)
+                    size, d = len(own), norm()
+            pos += 1
+        idx = np.array(own)
         if brk is None:
-            tail = np.array([q for q in range(pos, len(x)) if keep[q]], int)
-            over = (norm(beta, rmse, x[idx[0]], tail, k) > limit).sum() if len(tail) else 0
-            close(idx, beta, rmse, k, min(1.0, over / conse), None)
+            close(idx, beta, rmse, min(1.0, int((d[pos:] > limit).sum()) / conse), None)
             break
-        close(idx, beta, rmse, k, 1.0, brk)
+        close(idx, beta, rmse, 1.0, brk)
         i = int(np.searchsorted(x, brk))
     return {"n_segments": len(segments), "segments": segments}
 
