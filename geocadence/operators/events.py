@@ -110,3 +110,55 @@ def change_vector(df: DataFrame, before: list[str], after: list[str], *, scale:
         sector = sector + F.when(d > 0, 1 << k).otherwise(0)
     out = df.withColumn("magnitude", rho).withColumn("direction", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
     return out.withColumn("sector", sector.cast("int")).withColumn("change", F.col("magnitude") > threshold)
+
+
+DATENUM_OF_1970 = 719163 + 366
+
+
+def synthetic_image(segments: DataFrame, date: Column, bands: list[str], *, key: str = "pixel_id") -> DataFrame:
+    """Value of each band at ``date`` under the harmonic model of the segment that covers it.
+
+    ``segments`` is (key, t_start, t_end, one array of up to eight coefficients per band); the segment is the last one
+    that has begun, before the first the first.
+    """
+    s = segments.withColumn("_at", date)
+    one = F.struct("t_start", "_at", *bands)
+    got = s.groupBy(key).agg(F.max(F.when(F.col("t_start") <= F.col("_at"), one)).alias("m"), F.min(one).alias("f")).withColumn("c", F.coalesce("m", "f"))
+    t = F.unix_date("c._at") + DATENUM_OF_1970
+    return got.select(key, *[predict_harmonic_array(F.col(f"c.{b}"), t).alias(b) for b in bands])
+
+
+def predict_harmonic_array(coefs: Column, t: Column) -> Column:
+    """``predict_harmonic`` of an array of two, four, six or eight coefficients; missing ones count as 0."""
+    return predict_harmonic([F.coalesce(F.get(coefs, F.lit(k)), F.lit(0.0)) for k in range(8)], t)
+
+
+def water_mask(segments: DataFrame, *, green: str = "green", swir: str = "swir1", threshold: float = 500.0, key: str = "pixel_id") -> DataFrame:
+    """Persistent water: in the middle of a pixel's first segment the level a0 + c1 t of green is above that of
+    ``swir``, which is below ``threshold``."""
+    first = segments.groupBy(key).agg(F.min(F.struct("t_start", "t_end", green, swir)).alias("s"))
+    t = F.unix_date("s.t_start") + F.datediff("s.t_end", "s.t_start") / 2 + DATENUM_OF_1970
+    level = lambda b: F.col(f"s.{b}")[0] + F.col(f"s.{b}")[1] * t
+    return first.select(key, F.coalesce((level(green) > level(swir)) & (level(swir) < threshold), F.lit(False)).alias("water"))
+
+
+def fusion_plan(fine: DataFrame, coarse: DataFrame, *, pair_tolerance: int = 8, max_gap: int | None = None, key: str = "tile") -> DataFrame:
+    """Which pairs of scenes predict which dates, from tables of scene dates (key, ts) alone.
+
+    A pair is a fine date with its nearest coarse date within ``pair_tolerance`` days (the earlier on ties). Each coarse
+    date is bracketed by the last pair at or before it and the first at or after it, a pair being placed at its fine
+    date; brackets further than ``max_gap`` days away are left out. One row per coarse date with any bracket.
+    """
+    f = fine.select(key, "ts").where("ts IS NOT NULL").distinct().withColumn("_id", F.struct(key, "ts"))
+    c = coarse.select(key, F.col("ts").alias("cts")).where("cts IS NOT NULL").distinct().withColumn("_v", F.col("cts"))
+    near = asof_nearest(f, c, pair_tolerance, key=key, left_ts="ts", right_ts="cts", left_id="_id", value="_v").where("matched_ts IS NOT NULL")
+    pairs = near.select(key, F.col("_id.ts").alias("ts"), F.struct(F.col("_id.ts").alias("fine"), F.col("matched_ts").alias("coarse")).alias("pair"))
+    both = pairs.withColumn("is_pair", F.lit(True)).unionByName(c.select(key, F.col("cts").alias("ts"), F.lit(None).cast("struct<fine:date,coarse:date>").alias("pair"), F.lit(False).alias("is_pair")))
+    w = W.partitionBy(key).orderBy("ts")
+    # dates of one day see each other's pair on both sides
+    before = F.last("pair", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+    after = F.first("pair", ignorenulls=True).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))
+    plan = both.withColumn("b", before).withColumn("a", after).where("NOT is_pair")
+    near_enough = lambda side: F.lit(True) if max_gap is None else F.abs(F.datediff("ts", f"{side}.fine")) <= max_gap
+    plan = plan.withColumn("b", F.when(near_enough("b"), F.col("b"))).withColumn("a", F.when(near_enough("a"), F.col("a"))).where("a IS NOT NULL OR b IS NOT NULL")
+    return plan.select(key, F.col("ts").alias("target"), F.col("b.fine").alias("fine_before"), F.col("b.coarse").alias("coarse_before"), F.col("a.fine").alias("fine_after"), F.col("a.coarse").alias("coarse_after"))

@@ -6,10 +6,13 @@ k-fold explode and one hash aggregate on the cell, combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geocadence.functions import special
+from geocadence.operators import series
+
 
 def offsets(df: DataFrame, radius: int, shape: str = "square") -> DataFrame:
     rows = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if shape == "square" or dy * dy + dx * dx <= radius * radius]
@@ -113,3 +116,86 @@ def variogram(points: DataFrame, cutoff: float, bins: int) -> DataFrame:
     pairs = a.join(b, ["cx", "cy"]).where("i < j").withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= cutoff))
     k = F.least(F.lit(bins - 1), F.ceil(F.col("d") / (cutoff / bins)).cast("int") - 1)
     return pairs.groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.avg("d").alias("distance"), (F.avg(F.pow(F.col("va") - F.col("vb"), 2)) / 2).alias("gamma"))
+
+
+#: codes of the patterns, cold spots with a minus sign; 0 is no pattern
+HOTSPOT_PATTERNS = {1: "new", 2: "consecutive", 3: "intensifying", 4: "persistent", 5: "diminishing", 6: "sporadic", 7: "oscillating", 8: "historical"}
+
+
+def gi_star_series(df: DataFrame, radius: int = 1, shape: str = "square", lag: int = 1, reference: str = "date") -> DataFrame:
+    """Gi* of each cell and step (step, y, x, value): neighbours are the window's cells of the step and of ``lag`` steps
+    before; mean, deviation and n are those of the step ("date") or of all steps ("cube")."""
+    valid = df.where(F.col("value").isNotNull())
+    by = ["step"] if reference == "date" else []
+    stats = valid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
+    later = F.explode(F.array([F.struct((F.col("step") + k).alias("step"), F.lit(k == 0).alias("now")) for k in range(lag + 1)]))
+    moved = spread(valid, radius, shape, by=("step",)).select(later.alias("t"), "y", "x", "value", "is_self")
+    sums = moved.groupBy(F.col("t.step").alias("step"), "y", "x").agg(F.sum("value").alias("s"), F.count("*").alias("m"), F.max(F.col("is_self") & F.col("t.now")).alias("own")).where("own")
+    j = sums.join(F.broadcast(stats), by) if by else sums.crossJoin(F.broadcast(stats))
+    below = F.col("sd") * F.sqrt((F.col("n") * F.col("m") - F.col("m") * F.col("m")) / (F.col("n") - 1))
+    z = F.when((F.col("n") >= 2) & (F.col("sd") > 0), F.try_divide(F.col("s") - F.col("m") * F.col("mu"), below))
+    return j.select("step", "y", "x", z.alias("gi"))
+
+
+def _pattern(hot: str, cold: str, sign: int) -> Column:
+    """Code of a cell's pattern of hot dates, null for none: the first definition that holds."""
+    h, n = F.col(hot), F.size(hot)
+    count = F.size(F.filter(h, lambda v: v))
+    mostly = count * 10 >= n * 9
+    last_off = F.array_max(F.transform(h, lambda v, i: F.when(v, 0).otherwise(i + 1)))
+    other = F.exists(F.slice(cold, F.lit(1), n - 1), lambda v: v)
+    rising, falling = F.col("significant") & (F.col("trend") == sign), F.col("significant") & (F.col("trend") == -sign)
+    return (
+        F.when(~F.element_at(h, -1), F.when(mostly, 8)).when(count == 1, 1)
+        .when(mostly, F.when(rising, 3).when(falling, 5).otherwise(4))
+        .when(n - last_off == count, 2).when(other, 7).otherwise(6)
+    )
+
+
+def emerging_hotspots(df: DataFrame, radius: int = 1, *, shape: str = "square", lag: int = 1, reference: str = "date", alpha: float = 0.05) -> DataFrame:
+    """y, x, category (codes of HOTSPOT_PATTERNS), trend_z, n_hot, n_cold of every cell of (step, y, x, value).
+
+    Gi* of each step, the original Mann-Kendall test of its series, and the pattern of its significant steps. A
+    cell with fewer than three steps has no category.
+    """
+    gi = gi_star_series(df, radius, shape, lag, reference).where("gi IS NOT NULL").withColumn("cell", F.struct("y", "x"))
+    test = series.mann_kendall(gi, step="step", key="cell", value="gi", alpha=alpha, min_valid=3)
+    limit = special.normal_quantile(1 - alpha / 2)
+    z = gi.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("step", "gi"))).alias("a"))
+    hot, cold = F.transform("a", lambda s: s["gi"] > limit), F.transform("a", lambda s: s["gi"] < -limit)
+    flags = z.select("cell", hot.alias("hot"), cold.alias("cold")).join(test.select("cell", "trend", F.col("h").alias("significant"), F.col("z").alias("trend_z")), "cell", "left")
+    flags = flags.withColumn("trend", F.coalesce("trend", F.lit(0))).withColumn("significant", F.coalesce("significant", F.lit(False)))
+    code = F.coalesce(_pattern("hot", "cold", 1), -_pattern("cold", "hot", -1), F.lit(0))
+    on = lambda c: F.size(F.filter(c, lambda v: v))
+    return flags.select("cell.y", "cell.x", F.when(F.size("hot") >= 3, code).alias("category"), "trend_z", on("hot").alias("n_hot"), on("cold").alias("n_cold"))
+
+
+def smooth_probs(probs: DataFrame, window_size: int = 9, neigh_fraction: float = 0.5, smoothness: float = 20.0, eps: float = 1e-4) -> DataFrame:
+    """Bayesian smoothing of class probabilities (y, x, class, p): each logit is drawn to the mean of the highest
+    ``neigh_fraction`` of the window's logits of its class, the more the less those vary.
+
+    Windows are mirrored at the map's edges, the edge cell repeated; the map must be at least half a window wide. A
+    missing cell is a missing row; a cell alone in its window keeps its value. At least two logits are used.
+    """
+    half = window_size // 2
+    size = probs.agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    p = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1 - eps))
+    cells = probs.crossJoin(F.broadcast(size)).withColumn("logit", F.ln(p / (1 - p)))
+
+    def copies(c: str, n: str) -> Column:
+        """The places of a cell: its own, and those beyond an edge that show it."""
+        places = F.array(F.col(c), F.when(F.col(c) < half, -1 - F.col(c)), F.when(F.col(c) >= F.col(n) - half, 2 * F.col(n) - 1 - F.col(c)))
+        return F.explode(F.filter(places, lambda v: v.isNotNull()))
+
+    shown = cells.withColumn("_y", copies("y", "_h")).withColumn("_x", copies("x", "_w"))
+    shown = shown.select(F.col("_y").alias("y"), F.col("_x").alias("x"), "class", "logit")
+    around = spread(shown, half, keep=("class", "logit")).groupBy("y", "x", "class").agg(F.sort_array(F.collect_list("logit"), asc=False).alias("a"))
+    used = around.withColumn("t", F.greatest(F.lit(2), F.ceil(F.size("a") * F.lit(neigh_fraction))).cast("int")).withColumn("a_", F.slice("a", F.lit(1), F.col("t")))
+    total = F.aggregate("a_", F.lit(0.0), lambda acc, v: acc + v)
+    used = used.withColumn("m", total / F.size("a_"))
+    spare = F.aggregate("a_", F.lit(0.0), lambda acc, v: acc + (v - F.col("m")) * (v - F.col("m"))) / (F.size("a_") - 1)
+    used = used.select("y", "x", "class", F.size("a").alias("n"), "m", F.when(F.size("a_") > 1, spare).alias("s2"))
+    s2 = F.when(F.col("s2") < 1e-12, 0.0).otherwise(F.col("s2"))
+    mean = (s2 * F.col("logit") + smoothness * F.col("m")) / (s2 + smoothness)
+    out = cells.join(used, ["y", "x", "class"])
+    return out.select("y", "x", "class", F.when(F.col("n") <= 1, F.col("p")).otherwise(1 / (1 + F.exp(-mean))).alias("smoothed"))

@@ -113,3 +113,38 @@ def accuracy(samples: DataFrame, weights: DataFrame, *, stratum: str = "stratum"
 
 def confusion(samples: DataFrame, *, mapped: str = "map", reference: str = "ref") -> DataFrame:
     return samples.where(F.col(mapped).isNotNull() & F.col(reference).isNotNull()).groupBy(F.col(mapped).alias("map_class"), F.col(reference).alias("ref_class")).agg(F.count("*").alias("n"))
+
+
+def area_shares(samples: DataFrame, weights: DataFrame, mapped: DataFrame, *, estimator: str = "difference", stratum: str = "stratum", map_class: str = "map", reference: str = "ref", confidence: float = 0.95) -> DataFrame:
+    """class, mapped, estimate, se, ci_low, ci_high: shares of area with the help of the map's own shares.
+
+    ``mapped`` is (class, share) of the whole map. "difference": the mapped share plus the weighted mean of reference
+    less map; "ratio": the mapped share times the ratio of both weighted means, null for a class that no sample is
+    mapped as. Variances are sums of W_h^2 s_h^2 / n_h, of the residuals y - R x for the ratio.
+    """
+    if estimator not in ("difference", "ratio"):
+        raise ValueError(f"estimator must be 'difference' or 'ratio', not {estimator!r}")
+    z = normal_quantile(0.5 + confidence / 2)
+    pairs = samples.where(F.col(map_class).isNotNull() & F.col(reference).isNotNull())
+    classes = F.broadcast(pairs.select(F.col(map_class).alias("class")).unionByName(pairs.select(F.col(reference).alias("class"))).distinct())
+    y, x = (F.col(reference) == F.col("class")).cast("double"), (F.col(map_class) == F.col("class")).cast("double")
+    each = pairs.crossJoin(classes).select(stratum, "class", y.alias("y"), x.alias("x"))
+    by = each.groupBy(stratum, "class").agg(F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"), F.var_samp("y").alias("vy"), F.var_samp("x").alias("vx"), F.covar_samp("y", "x").alias("cov"))
+    by = by.join(F.broadcast(weights.select(stratum, "weight")), stratum)
+    total = by.groupBy("class").agg(F.sum(F.col("weight") * F.col("my")).alias("ty"), F.sum(F.col("weight") * F.col("mx")).alias("tx"))
+    r = F.lit(1.0) if estimator == "difference" else F.try_divide(F.col("ty"), F.col("tx"))
+    part = F.pow("weight", 2) * F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.col("vy") + r * r * F.col("vx") - 2 * r * F.col("cov"))).otherwise(0.0) / F.col("n")
+    out = by.join(total, "class").groupBy("class", "ty", "tx").agg(F.sum(part).alias("v"))
+    out = out.join(F.broadcast(mapped.select("class", F.col("share").alias("mapped"))), "class", "left").withColumn("mapped", F.coalesce("mapped", F.lit(0.0)))
+    if estimator == "difference":
+        value, se = F.col("mapped") + F.col("ty") - F.col("tx"), F.sqrt("v")
+    else:
+        value, se = F.col("mapped") * F.try_divide(F.col("ty"), F.col("tx")), F.col("mapped") * F.try_divide(F.sqrt("v"), F.col("tx"))
+    out = out.select("class", "mapped", value.alias("estimate"), se.alias("se"))
+    return out.withColumn("ci_low", F.col("estimate") - z * F.col("se")).withColumn("ci_high", F.col("estimate") + z * F.col("se"))
+
+
+def transition_samples(samples: DataFrame, *, map_from: str = "map_from", map_to: str = "map_to", ref_from: str = "ref_from", ref_to: str = "ref_to") -> DataFrame:
+    """``samples`` with map and ref as pairs "from -> to" of classes at two dates, null where one is missing."""
+    pair = lambda a, b: F.concat(F.col(a).cast("string"), F.lit(" -> "), F.col(b).cast("string"))
+    return samples.withColumn("map", pair(map_from, map_to)).withColumn("ref", pair(ref_from, ref_to))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("expressions", "temporal", "series", "maps", "kernels", "regions")
+MODULES = ("expressions", "temporal", "series", "maps", "kernels", "regions", "more")
 FLAGSHIP = "stm_by_month"
 
 
