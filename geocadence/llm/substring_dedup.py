@@ -19,9 +19,11 @@ with a smaller doc_id.
 The automata go to where a shard's stretches meet rather than by broadcast: what repeats in a corpus
 grows with it, so no bound on a broadcast would hold.
 
-Cases: null counts as no words; texts below WINDOW words lose nothing; a window repeated inside one
-document only stays; rows of equal doc_id never remove each other's words; rows with a null doc_id
-neither lose words nor take any; empty tables give empty results.
+Cases: null counts as no words; texts below WINDOW words lose nothing; texts are taken whole, however long; a window
+repeated inside one document only stays; rows of equal doc_id never remove each other's words, and repeated rows
+lose the same ones; of several documents that start a window the smallest doc_id keeps it; rows with a null doc_id
+neither lose words nor take any; empty tables give empty results; ``dedup_substrings`` keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -309,24 +311,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    spans = removable(docs, window, gram).withColumnRenamed("doc_id", "_id").withColumnRenamed("thash", "_thash")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_thash")), "left").drop("_id", "_thash", "_key")
+    """(row, spans): each row of ``docs`` as a struct, whatever its columns are called, and the spans it loses."""
+    spans = removable(docs.select("doc_id", "text"), window, gram)
+    row = F.col("row")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return own.join(spans, (row["doc_id"] == F.col("doc_id")) & (F.xxhash64(row["text"]) == F.col("thash")), "left").select("row", "spans")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated words removed from ``text``; texts that lose none stay as they are."""
-    cols = docs.columns
+    """``docs`` with repeated words removed from ``text`` (and n_chars brought up to date, if there); texts that lose
+    none stay as they are."""
     out = _with_spans(docs, window, gram)
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    text = F.col("row")["text"]
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
     kept = F.filter(words, lambda x, i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
-    return out.withColumn("text", text).select(*cols)
+    out = out.withColumn("left", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(kept, " ")))
+    new = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("left").cast("long"))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = _with_spans(docs, WINDOW, GRAM).select("doc_id", "text", "spans")
+    rows = _with_spans(docs, WINDOW, GRAM).select("row.doc_id", "row.text", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

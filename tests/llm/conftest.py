@@ -57,4 +57,4 @@ def clash(docs):
     """The corpus with extra columns whose names an operator might use itself."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit(1) for c in ("id", "score", "n", "row", "hash", "component", "size", "uid")})
+    return docs.withColumns({c: F.lit(1) for c in ("id", "score", "n", "row", "hash", "component", "size", "uid", "spans", "thash", "range", "at", "h", "left", "a", "_key", "_id", "_thash", "_gone", "_text", "_row", "_score", "_gone_id", "_gone_hash", "_gone_row")})

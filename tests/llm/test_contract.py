@@ -48,3 +48,19 @@ def test_pipeline(spark, sf_dir):
             assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in before.collect()}
     pieces = docs.toPandas()
     assert pieces.groupby("sequence_id").length.sum().max() <= 4096
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edges(spark, sf_dir, empty, nulls, clash, docs, k):
+    """Every stage with no rows, with nulls, and with columns of any name."""
+    import corpus_pipeline as c
+
+    name, stage = c.STAGES[k]
+    assert stage(spark, empty, sf_dir).count() == 0
+    assert stage(spark, nulls, sf_dir).count() <= 3
+    out = stage(spark, clash, sf_dir)
+    plain = stage(spark, docs, sf_dir)
+    assert out.count() == plain.count()
+    if k + 1 < len(c.STAGES):
+        assert out.columns == clash.columns and plain.columns == docs.columns
+        assert out.where("spans <> 1 OR _score <> 1").count() == 0

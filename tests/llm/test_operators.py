@@ -152,7 +152,7 @@ def brute_substrings(rows, k=50):
 def test_substring_dedup(docs, rows, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(substring_dedup, "KEY_STRETCHES", 1)
-    out = substring_dedup._with_spans(docs.select("doc_id", "text"), 50, 10).select("doc_id", "text", "spans")
+    out = substring_dedup._with_spans(docs.select("doc_id", "text"), 50, 10).select("row.doc_id", "row.text", "spans")
     got = out.mapInArrow(substring_dedup._cut, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()
     want = brute_substrings(rows)
     assert Counter(tuple(r) for r in got) == want
@@ -228,6 +228,60 @@ def test_links_off_the_star(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.components_of(df).collect()} == {i: c for i, (_, c) in brute_near(rows).items()}
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_a_doc_id_of_two_texts(spark):
+    """Its texts are one document in the links; no text is lost when near copies go."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, b), (5, b), (5, a), (7, a)]
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], SCHEMA)
+    got = near_dedup.components_of(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()) == [(3, b), (5, a)]
+
+
+@pytest.mark.parametrize("block, heavy", [(8, 64), (16, 2)])
+def test_crowded_buckets(spark, monkeypatch, block, heavy):
+    """Buckets cut into blocks, and buckets that fill the packed blocks of a task, give the same links."""
+    from geocadence.llm import buckets
+
+    monkeypatch.setattr(buckets, "BLOCK", block)
+    monkeypatch.setattr(buckets, "HEAVY", heavy)
+    rng = np.random.default_rng(9)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for i in range(50):
+            w = list(base)
+            for p in rng.choice(200, rng.integers(2, 7), replace=False):
+                w[p] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(w), None, None, 0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_near(rows)
+    assert len({c for _, c in want.values()}) < 100
+    assert {r.doc_id: r.component_id for r in near_dedup.components_of(df).collect()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_recall_of_line_pairs(spark):
+    """Pairs of lines planted around the threshold: each pair stands alone, so nothing else can link it."""
+    rng, letters = np.random.default_rng(12), list("abcdefghijklmnopqrstuvwxyz      ")
+    rows, pairs = [], []
+    for k in range(400):
+        line = "".join(rng.choice(letters, rng.integers(30, 400)))
+        other = list(line)
+        for p in rng.choice(len(line), max(1, int(len(line) * rng.uniform(0, 0.016))), replace=False):
+            other[p] = "Z"
+        x, y = (f"{k} {''.join(t)}" for t in (line, other))
+        sets = [{z[j : j + 8] for j in range(max(1, len(z) - 7))} for z in (t.translate(LOW) for t in (x, y))]
+        pairs.append(100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]))
+        rows += [(2 * k, x, None, None, 0), (2 * k + 1, y, None, None, 0)]
+    removed = {r.doc_id for r in line_dedup.decisions(spark.createDataFrame(rows, SCHEMA)).collect() if r.removed}
+    found = {2 * k + 1 for k, near in enumerate(pairs) if near}
+    assert 100 < len(found) < 390
+    assert not removed - found and len(removed & found) >= 0.995 * len(found)
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)]
