@@ -462,9 +462,14 @@ def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets
 
     ``texts(ids)`` gives (id, text) of wanted nodes and is called once; it may give null for one that it lacks.
     """
+    none = nodes.sparkSession.createDataFrame([], "node long, component long")
     members = shared_members(nodes, bins, rows)
+    if not members.head(1):
+        return none
     groups = alike_groups(members, nodes, bins, floor)
     drop_written(members)
+    if not groups.head(1):
+        return none
     near = written(texts(groups.select("id").distinct()), "near-texts")
     pairs = written(groups.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = verified(pairs, near, sets, similar)

