@@ -8,22 +8,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geocadence.operators.ordered import numbered
 from geocadence.operators.spatial import offsets
 
 
-def label_patches(df: DataFrame, checkpoint, *, value: str = "class", connectivity: int = 4, id_: Column | None = None, rounds: int = 60) -> DataFrame:
+def label_patches(df: DataFrame, checkpoint, *, value: str = "class", connectivity: int = 4, id_: Column | None = None) -> DataFrame:
     """Label of each cell's connected patch of equal class: the smallest cell id of the patch.
 
-    Labels spread along links and jump to the label of their label, which halves the paths of every round; each
-    round is written through ``checkpoint`` (a function from table to table), so lineage stays short.
+    Labels spread along links and jump to the label of their label, which halves the paths of every round, until a
+    round changes nothing; each round is written through ``checkpoint`` (a function from table to table), so lineage
+    stays short. Cell ids are unique for any int y and x unless ``id_`` gives others.
     """
-    cell = (F.col("y").cast("long") * 1_000_000 + F.col("x")) if id_ is None else id_
+    cell = F.col("y").cast("long") * (1 << 32) + F.col("x") + (1 << 31) if id_ is None else id_
     cells = checkpoint(df.where(F.col(value).isNotNull()).select("y", "x", value, cell.alias("id")))
     near = offsets(df, 1).where("abs(dy) + abs(dx) = 1" if connectivity == 4 else "abs(dy) + abs(dx) > 0")
     moved = cells.crossJoin(F.broadcast(near)).select((F.col("y") + F.col("dy")).cast("int").alias("y"), (F.col("x") + F.col("dx")).cast("int").alias("x"), F.col(value).alias("_v"), F.col("id").alias("other"))
     links = checkpoint(moved.join(cells, ["y", "x"]).where(F.col("_v") == F.col(value)).select("id", "other"))
     labels = checkpoint(cells.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    while True:
         around = links.join(labels.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("m"))
         lower = labels.join(around, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("to"))
@@ -65,14 +67,21 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0), lambda s, i: s + crossing(i)) % 2 == 1
 
 
+TILE = 64
+
+
 def rasterize(cells: DataFrame, zones: DataFrame, *, cell: float = 1.0) -> DataFrame:
     """Zone of each cell whose centre lies in a polygon; of overlapping polygons the last by id wins.
 
-    Polygons are broadcast (a vector layer of checked size) with their bounding boxes tested first.
+    Cells and polygons meet by tiles of TILE x TILE cells, each polygon in all tiles that its bounding box touches.
     """
     x, y = (F.col("x") + 0.5) * cell, (F.col("y") + 0.5) * cell
     boxed = zones.select("zone", "ring", F.array_min("ring.x").alias("lo_x"), F.array_max("ring.x").alias("hi_x"), F.array_min("ring.y").alias("lo_y"), F.array_max("ring.y").alias("hi_y"))
-    met = cells.select("y", "x").join(F.broadcast(boxed), (x >= F.col("lo_x")) & (x <= F.col("hi_x")) & (y >= F.col("lo_y")) & (y <= F.col("hi_y"))).where(inside(x, y, F.col("ring")))
+    tile = lambda c: F.floor(F.col(c) / (cell * TILE))
+    tiled = boxed.withColumn("_ty", F.explode(F.sequence(tile("lo_y"), tile("hi_y")))).withColumn("_tx", F.explode(F.sequence(tile("lo_x"), tile("hi_x"))))
+    own = cells.select("y", "x", F.floor(F.col("y") / TILE).alias("_ty"), F.floor(F.col("x") / TILE).alias("_tx"))
+    # a cell's centre never lies on a tile's edge
+    met = own.join(tiled, ["_ty", "_tx"]).where((x >= F.col("lo_x")) & (x <= F.col("hi_x")) & (y >= F.col("lo_y")) & (y <= F.col("hi_y"))).where(inside(x, y, F.col("ring")))
     return met.groupBy("y", "x").agg(F.max("zone").alias("zone"))
 
 
@@ -120,7 +129,7 @@ def topographic_correction(df: DataFrame, *, by: Sequence[str], value: str = "va
     c = F.try_divide("_b", "_m")
     ok = (F.col("_n") >= min_sample) & (F.col("_m") > 0)
     full = F.try_divide(F.col(value) * (F.col(cos_sz) + c), F.col(cos_i) + c)
-    return df.join(F.broadcast(fit), list(by)).withColumn("corrected", F.when(ok, full).otherwise(F.col(value))).drop("_m", "_b", "_n")
+    return df.join(fit, list(by)).withColumn("corrected", F.when(ok, full).otherwise(F.col(value))).drop("_m", "_b", "_n")
 
 
 def ross_thick(sz: Column, vz: Column, ra: Column) -> Column:
@@ -186,14 +195,10 @@ def seed_grid(spark, height: int, width: int, spacing: int, kind: str = "rectang
 
 
 def error_profile(df: DataFrame, window: int = 5, *, di: str = "di", observed: str = "observed", predicted: str = "predicted", key: str = "id") -> DataFrame:
-    """Moving-window RMSE and MAE of rows ordered by dissimilarity. The calibration sample is bounded, so its order
-    is made in one partition."""
-    from pyspark.sql import Window as W
-
+    """Moving-window RMSE and MAE of rows ordered by dissimilarity: each row goes to the places whose window holds it."""
     half = window // 2
-    w = W.orderBy(di, key).rowsBetween(-half, half)
+    placed = numbered(df, [di, key], "_k").drop("_b", "_m")
     e = F.col(observed) - F.col(predicted)
-    out = df.withColumn("rmse", F.sqrt(F.avg(e * e).over(w))).withColumn("mae", F.avg(F.abs(e)).over(w)).withColumn("_n", F.count("*").over(w))
-    return out.where(F.col("_n") == 2 * half + 1).drop("_n")
-
-
+    sent = placed.select(F.explode(F.sequence(F.col("_k") - half, F.col("_k") + half)).alias("_k"), e.alias("_e"))
+    around = sent.groupBy("_k").agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), F.count("*").alias("_n"))
+    return placed.join(around, "_k").where(F.col("_n") == 2 * half + 1).drop("_n", "_k")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geocadence.functions import special
+from geocadence.operators.ordered import numbered
 
 
 def fill_linear(df: DataFrame, max_gap: int | None = None, *, key: str = "pixel_id", ts: str = "ts", value: str = "value", out: str = "filled") -> DataFrame:
@@ -201,13 +202,15 @@ def best_lag(correlations: DataFrame, *, key: str = "pixel_id") -> DataFrame:
 
 
 def fdr(df: DataFrame, p: str = "p", order: str = "pixel_id", alpha: float = 0.1) -> DataFrame:
-    """Benjamini-Hochberg q-values and significance. Ranks need all p-values in order, so this sorts one
-    number per test in a single partition; tests are maps of series, not observations."""
-    tested = df.where(F.col(p).isNotNull())
-    up, down = W.orderBy(p, order), W.orderBy(F.col(p).desc(), F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = tested.withColumn("_k", F.row_number().over(up)).withColumn("_m", F.count("*").over(W.partitionBy()))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(down))
-    return ranked.withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("_k", "_m")
+    """Benjamini-Hochberg q-values and significance: ranks by ranges of (p, order), and the least of p m / k over a
+    row's own range and the later ranges' minima."""
+    ranked = numbered(df.where(F.col(p).isNotNull()), [p, order], "_k").withColumn("_r", F.col(p) * F.col("_m") / (F.col("_k") + 1))
+    least = ranked.groupBy("_b").agg(F.min("_r").alias("_l"))
+    later = least.select("_b", F.min("_l").over(W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+    down = W.partitionBy("_b").orderBy(F.col(p).desc(), F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_r").over(down), F.coalesce("_later", F.lit(1.0)))
+    out = ranked.join(F.broadcast(later), "_b").withColumn("q", q).withColumn("significant", F.col("q") <= alpha)
+    return out.drop("_k", "_m", "_r", "_b", "_later")
 
 
 def recovery(df: DataFrame, events: DataFrame, *, horizon: int = 5, pre_years: int = 2, target: float = 0.8, key: str = "pixel_id", year: str = "year", value: str = "value") -> DataFrame:

@@ -7,11 +7,11 @@ k-fold explode and one hash aggregate on the cell, combined before the shuffle.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geocadence.functions import special
 from geocadence.operators import series
+from geocadence.operators.ordered import numbered
 
 
 def offsets(df: DataFrame, radius: int, shape: str = "square") -> DataFrame:
@@ -101,8 +101,8 @@ def spatial_blocks(points: DataFrame, size: float, k: int, *, shape: str = "squa
     if selection == "checkerboard":
         return b.withColumn("fold", F.pmod(F.col("block_col") + F.col("block_row"), F.lit(2)).cast("int"))
     blocks = b.select("block_row", "block_col").distinct()
-    ranked = blocks.withColumn("fold", ((F.row_number().over(W.orderBy("block_row", "block_col")) - 1) % k).cast("int"))
-    return b.join(F.broadcast(ranked), ["block_row", "block_col"])
+    ranked = numbered(blocks, ["block_row", "block_col"], "_k").select("block_row", "block_col", (F.col("_k") % k).cast("int").alias("fold"))
+    return b.join(ranked, ["block_row", "block_col"])
 
 
 def variogram(points: DataFrame, cutoff: float, bins: int) -> DataFrame:

@@ -13,7 +13,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def _patches(spark, d):
-    return r.label_patches(grid(spark, d).withColumn("class", (F.col("size") % 3).cast("int")), checkpointed)
+    return r.label_patches(grid(spark, d).withColumn("class", (F.col("size") % 3).cast("int")), checkpointed, id_=F.col("y").cast("long") * 1_000_000 + F.col("x"))
 
 
 _LABEL = """g AS (SELECT y, x, CAST(size % 3 AS INTEGER) AS class, y * 1000000 + x AS id FROM grid), l AS (SELECT a.id, b.id AS o FROM g a JOIN g b ON a.class = b.class AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
