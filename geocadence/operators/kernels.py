@@ -483,7 +483,10 @@ def _segment_rss(design: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
     for a in range(n - size + 1):
         g = sums[a + size :] - sums[a]
         xx, xy, yy = g[:, :p, :p], g[:, :p, p], g[:, p, p]
-        beta = np.einsum("nij,nj->ni", np.linalg.pinv(xx, rcond=1e-13, hermitian=True), xy)
+        try:
+            beta = np.linalg.solve(xx, xy[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            beta = np.einsum("nij,nj->ni", np.linalg.pinv(xx, rcond=1e-13, hermitian=True), xy)
         rss[a, a + size :] = np.maximum(yy - (2 * xy * beta).sum(axis=1) + np.einsum("ni,nij,nj->n", beta, xx, beta), 0)
     return rss
 
