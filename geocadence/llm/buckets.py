@@ -263,16 +263,18 @@ def alike_groups(members: DataFrame, nodes: DataFrame, bins: int, floor: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ("bucket",)):
             sig, few = unpacked(t.column("sig"), bins), t.column("few").to_numpy(zero_copy_only=False)
-            left, right = [], []
+            own = lab = np.arange(t.num_rows)
             for i, j in pairs_within(edges(t, ("bucket",))):
+                # what is joined already needs no look, and no pair is held longer than its run
+                apart = lab[i] != lab[j]
+                i, j = i[apart], j[apart]
                 ok = ((sig[i] == sig[j]).sum(axis=1) >= floor) | few[i] | few[j]
-                left.append(i[ok])
-                right.append(j[ok])
-            if not left:
-                continue
-            lab = least_reached(t.num_rows, np.concatenate(left), np.concatenate(right))
+                if ok.any():
+                    lab = least_reached(t.num_rows, np.concatenate([i[ok], own]), np.concatenate([j[ok], lab]))
             size = np.bincount(lab, minlength=t.num_rows)[lab]
             keep = np.flatnonzero(size > 1)
+            if not len(keep):
+                continue
             # rows of a bucket are sorted by id, so the least index is the least node
             ids = t.column("id").to_numpy()
             out = t.take(pa.array(keep))
@@ -390,21 +392,26 @@ def _eligible(t: pa.RecordBatch, bins: int, rows: int, floor: int) -> Iterator[t
             yield i[ok], j[ok], agree[ok]
 
 
+LAST = (1 << 32) - 1
+
+
 def best_pairs(members: DataFrame, bins: int, rows: int, floor: int) -> DataFrame:
     """Each member with the most alike eligible one of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, GROUP):
-            found = list(_eligible(t, bins, rows, floor))
-            if not found:
+            # per member the bins that agree, and below them the partner, the least one greatest; rows of a group are
+            # sorted by id. Only this is held, since the pairs of a few blocks are many millions
+            best = np.zeros(t.num_rows, np.int64)
+            for i, j, agree in _eligible(t, bins, rows, floor):
+                np.maximum.at(best, i, (agree + 1) << 32 | LAST - j)
+                np.maximum.at(best, j, (agree + 1) << 32 | LAST - i)
+            x = np.flatnonzero(best)
+            if not len(x):
                 continue
-            i, j, agree = (np.concatenate(x) for x in zip(*found))
             ids = t.column("id").to_numpy()
-            x, y, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-            order = np.lexsort((ids[y], -s, x))
-            x, y = x[order], y[order]
-            top = np.append(True, x[1:] != x[:-1])
-            both = np.unique(np.stack([np.minimum(ids[x[top]], ids[y[top]]), np.maximum(ids[x[top]], ids[y[top]])], axis=1), axis=0)
+            y = LAST - (best[x] & LAST)
+            both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1), axis=0)
             yield pa.record_batch({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
 
     return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(run, "a long, b long").distinct()

@@ -263,6 +263,59 @@ def test_crowded_buckets(spark, monkeypatch, block, heavy):
     assert {r.doc_id: r.component_id for r in near_dedup.components_of(df).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+class Tasks:
+    """Stands for a dealt and sorted table whose rows one task reads."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = join = repartition
+
+    def mapInArrow(self, run, schema):
+        return Tasks(*run(iter(self.batches)))
+
+    def distinct(self):
+        return sorted({(r["a"], r["b"]) for b in self.batches for r in b.to_pylist()})
+
+
+def one_group(sig, texts=None):
+    """A group of one bucket whose members lie in components of their own."""
+    from geocadence.llm import buckets
+
+    n = len(sig)
+    key = buckets.as_i64(buckets.band_keys(sig, 4))[:, 0]
+    cols = {"bucket": key, "a": np.full(n, -1), "p": np.zeros(n, np.int32), "q": np.zeros(n, np.int32), "id": np.arange(n) * 3, "component": np.arange(n) * 3, "side": np.zeros(n, np.int32), "few": np.zeros(n, bool)}
+    t = {k: pa.array(v) for k, v in cols.items()} | {"sig": pa.array([x.tobytes() for x in sig], pa.binary())}
+    return pa.record_batch(t if texts is None else t | {"text": pa.array(texts, pa.string())})
+
+
+def test_best_pairs_hold_no_pairs():
+    """The most alike partner of each of many near copies, found without holding the pairs that are looked at."""
+    import tracemalloc
+
+    from geocadence.llm import buckets
+
+    rng = np.random.default_rng(3)
+    n = 1200
+    sig = np.where(rng.random((n, 128)) < 0.8, np.arange(128), rng.integers(1000, 60000, (n, 128))).astype(np.uint16)
+    sig[:, :4] = 7
+    t = one_group(sig)
+    tracemalloc.start()
+    try:
+        got = buckets.best_pairs(Tasks(t), 128, 4, 64)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    agree = np.stack([(sig == x).sum(axis=1) for x in sig])
+    np.fill_diagonal(agree, 0)
+    best = agree.argmax(axis=1)
+    assert got == sorted({(int(min(i, j)) * 3, int(max(i, j)) * 3) for i, j in enumerate(best) if agree[i, j] >= 64})
+    assert peak < 40e6, peak
+
+
 def test_recall_of_line_pairs(spark):
     """Pairs of lines planted around the threshold: each pair stands alone, so nothing else can link it."""
     rng, letters = np.random.default_rng(12), list("abcdefghijklmnopqrstuvwxyz      ")
