@@ -1,17 +1,16 @@
 """Quality rules: statistics of each text, and an isolation forest over them.
 
-The forest grows on a bounded sample of all documents, labelled or not (``SAMPLE_ROWS``, chosen by hash of
-doc_id; each tree sees TREE_ROWS of them): random features and random split points isolate odd rows after few
-splits, so a short mean path length means an anomaly. The threshold comes from labelled rows (at most
-``SAMPLE_ROWS`` more): of those that keep at least ``KEEP_SHARE`` of the rows labelled good, the one that
-separates them best from rows labelled bad. Rows that the base rules fail are in neither sample.
-
-Every document's statistics are made from its whole text in one pass on the executors; no shuffle.
+Every document's statistics are made from its whole text in one pass and written. Each tree of the forest grows on
+TREE_ROWS documents, as the method has it, drawn by hash for that tree from all documents, labelled or not: random
+features and random split points isolate odd rows after few splits, so a short mean path length means an anomaly.
+Every document is scored once, and the threshold comes from all labelled ones: of the scores that keep at least
+``KEEP_SHARE`` of the rows labelled good, the one that separates them best from rows labelled bad. Rows that the base
+rules fail take no part in either.
 
 Cases: null counts as empty (all statistics 0, base_failed); texts are taken whole, however long; without rows
-labelled good the threshold is the ``KEEP_SHARE`` quantile of the sample's anomalies; without any row nothing
+labelled good the threshold is the ``KEEP_SHARE`` quantile of all anomalies; without any row nothing
 fails but by the base rules; a score equal to the threshold passes; repeated rows are judged alike, and their
-first text, by hash, is the sampled one; empty tables give empty results; extra columns are ignored.
+first text, by hash, is the one that trees and threshold see; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Words, grams, slices, span_hash, table, text_bytes
+from .common import BYTE_CODE, RADIX, Words, drop_written, grams, mix, prefix_sums, reread, slices, span_hash, table, text_bytes, written
 
-SAMPLE_ROWS = 8192
 TREES = 100
 TREE_ROWS = 256
+ROWS_AT_ONCE = 4096
+SCORE_BLOCKS = 1 << 12
 KEEP_SHARE = 0.99
 SEED = 20240607
 SYMBOLS = np.zeros(256, bool)
@@ -129,6 +129,14 @@ class Forest:
         self.norm = _average_path(min(rows, max(2, len(x))))
         self.trees = [self._grow(x[rng.choice(len(x), min(rows, len(x)), replace=False)], rng) for _ in range(trees if len(x) else 0)]
 
+    @classmethod
+    def of(cls, drawn: list[np.ndarray], seed: int = SEED) -> Forest:
+        """A tree of each array of rows; the same forest as of one table that is drawn whole for each tree."""
+        out, rng = cls(np.zeros((0, 1))), np.random.default_rng(seed)
+        out.norm = _average_path(max(2, max(map(len, drawn))))
+        out.trees = [cls._grow(x[rng.choice(len(x), len(x), replace=False)], rng) for x in drawn]
+        return out
+
     @staticmethod
     def _grow(x: np.ndarray, rng) -> tuple:
         feature, split, left, right, depth_of = [], [], [], [], []
@@ -173,7 +181,7 @@ class Forest:
 
 
 def calibrate(score: np.ndarray, quality: np.ndarray, keep_share: float = KEEP_SHARE) -> float:
-    """Threshold on the anomaly score (rows above it fail), given rows labelled good: among those that keep at least ``keep_share`` of the
+    """``cut`` on arrays: threshold on the anomaly score (rows above it fail), given rows labelled good: among those that keep at least ``keep_share`` of the
     good rows, the one with the best share of rejected bad rows less ten times the share of good rows lost."""
     good, bad = np.sort(score[quality == 1]), np.sort(score[quality == 0])
     floor = float(good[int(np.ceil(keep_share * len(good))) - 1])
@@ -189,60 +197,137 @@ def calibrate(score: np.ndarray, quality: np.ndarray, keep_share: float = KEEP_S
     return float((steps[k] + above.min()) / 2) if len(above) else float(steps[k])
 
 
-FEATURE_SCHEMA = "doc_id long, thash long, quality int, sampled boolean, x array<double>"
+MEASURED_SCHEMA = "doc_id long, thash long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, x binary"
+SCORED_SCHEMA = MEASURED_SCHEMA.replace("x binary", "anomaly double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, float]:
-    """Forest from at most ``sample_rows`` documents and threshold from at most as many labelled ones, each chosen by
-    hash of doc_id."""
-    order = F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    known = known.orderBy(*order).limit(sample_rows)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(*order).limit(sample_rows)
-    # at most twice sample_rows ids
-    chosen = known.withColumn("sampled", F.lit(False)).unionByName(some.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("sampled")))
-    chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("sampled").alias("sampled"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
-    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "thash", "quality", "sampled", "text")
+def measured(docs: DataFrame) -> DataFrame:
+    """Per row: counts, base_failed, and the features as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 s = statistics(part.column("text"))
-                good = ~base_failed(s)
-                kept = part.select(["doc_id", "thash", "quality", "sampled"]).filter(pa.array(good))
-                yield kept.append_column("x", pa.array(list(features(s)[good]), pa.list_(pa.float64())))
+                x = pa.array([row.tobytes() for row in features(s)], pa.binary())
+                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "thash": part.column("thash"), **{c: pa.array(s[c]) for c in BASE}, "base_failed": pa.array(base_failed(s)), "x": x})
 
-    got = rows.mapInArrow(run, FEATURE_SCHEMA).toArrow().to_pylist()
-    got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], -r["thash"]))}.values())
-    if not got:
-        return Forest(np.zeros((0, 1))), 2.0
-    x, sampled = np.array([r["x"] for r in got]), np.array([r["sampled"] for r in got])
-    q = np.array([-1 if r["quality"] is None else r["quality"] for r in got], np.int64)
-    forest = Forest(x[sampled] if sampled.any() else x)
-    score = forest.anomaly(x)
-    return forest, calibrate(score[q >= 0], q[q >= 0]) if (q == 1).any() else float(np.quantile(score[sampled] if sampled.any() else score, KEEP_SHARE))
+    return docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(run, MEASURED_SCHEMA)
 
 
-def judge(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
-    """Statistics, base_failed, anomaly and kept of every whole text."""
-    held = docs.sparkSession.sparkContext.broadcast((forest, threshold))
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, anomaly double, kept boolean"
+def _unpacked(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+
+
+def draw_keys(doc_id: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """n x trees: a tree takes the documents of the least keys."""
+    at = mix(doc_id.astype(np.int64).view(np.uint64) + np.uint64(SEED))
+    return mix(at[:, None] + np.arange(1, trees + 1, dtype=np.uint64)[None, :] * np.uint64(RADIX))
+
+
+def grow(stats: DataFrame) -> Forest:
+    """Forest over ``stats`` (a written table of ``measured``): each tree draws from all documents. What reaches the
+    driver are some 2 * TREE_ROWS documents a tree, at any size of the table."""
+    good = stats.where("NOT base_failed AND doc_id IS NOT NULL").select("doc_id", "thash", "x")
+    n = good.select("doc_id").distinct().count()
+    if not n:
+        return Forest(np.zeros((0, 1)))
+    share = 2 * TREE_ROWS / n
+    while True:
+        last = np.uint64(int(min(share, 1.0) * (2**64 - 2048)) if share < 1 else 2**64 - 1)
+
+        def run(batches: Iterator[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array((draw_keys(batch.column("doc_id").to_numpy()) <= last).any(axis=1)))
+
+        got = good.mapInArrow(run, good.schema).toArrow().sort_by([("doc_id", "ascending"), ("thash", "ascending")]).combine_chunks()
+        ids = got.column("doc_id").to_numpy()
+        once = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+        keys = draw_keys(ids[once])
+        # a tree is complete when all it may take lie below the last key looked at
+        if share >= 1 or ((keys <= last).sum(axis=0) >= TREE_ROWS).all():
+            break
+        share *= 2
+    x = _unpacked(got.column("x"))[once]
+    return Forest.of([x[np.sort(np.argsort(k, kind="stable")[:TREE_ROWS])] for k in keys.T])
+
+
+def scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    held = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, threshold = held.value
+        def rated(some: list[pa.RecordBatch]) -> pa.Table:
+            t = pa.Table.from_batches(some)
+            return t.drop_columns(["x"]).append_column("anomaly", pa.array(held.value.anomaly(_unpacked(t.column("x")))))
+
+        some, n = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                s = statistics(part.column("text"))
-                failed, score = base_failed(s), forest.anomaly(features(s))
-                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), **{c: pa.array(s[c]) for c in BASE}, "base_failed": pa.array(failed), "anomaly": pa.array(score), "kept": pa.array(~failed & (score <= threshold))})
+            if batch.num_rows:
+                some.append(batch)
+                n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield from rated(some).combine_chunks().to_batches()
+                some, n = [], 0
+        if some:
+            yield from rated(some).combine_chunks().to_batches()
+
+    return stats.mapInArrow(run, SCORED_SCHEMA)
+
+
+def cut(rated: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE) -> float:
+    """``calibrate`` over all labelled documents of ``rated`` (a written table of ``scored``), without gathering them:
+    counts by score, and running sums over blocks of scores."""
+    good = rated.where("NOT base_failed AND doc_id IS NOT NULL").select("doc_id", "thash", "anomaly")
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    first = good.groupBy("doc_id").agg(F.min_by("anomaly", "thash").alias("anomaly"))
+    q = F.col("quality")
+    counts = first.join(known, "doc_id", "left").groupBy("anomaly").agg(F.count_if(q == 1).alias("good"), F.count_if(q == 0).alias("bad"), F.count("*").alias("n"))
+    counts = written(counts.withColumn("block", F.floor(F.col("anomaly") * SCORE_BLOCKS)), "scores")
+    n_good, n_bad, n = counts.agg(F.sum("good"), F.sum("bad"), F.sum("n")).first()
+    if not n:
+        return 2.0
+    upto = lambda df, c: prefix_sums(df, "block", ["anomaly"], c, f"to_{c}").withColumn(f"to_{c}", F.col(f"to_{c}") + F.col(c))
+    if not n_good:
+        # the quantile of all scores, between two ranks if need be
+        at = keep_share * (n - 1)
+        by_rank = upto(counts, "n")
+        low, high = (by_rank.where(F.col("to_n") > k).agg(F.min("anomaly")).first()[0] for k in (int(np.floor(at)), int(np.ceil(at))))
+        out = low + (high - low) * (at - np.floor(at))
+    else:
+        steps = written(upto(upto(reread(counts).where("good + bad > 0"), "good"), "bad"), "steps")
+        out = steps.where(F.col("to_good") >= int(np.ceil(keep_share * n_good))).agg(F.min("anomaly")).first()[0]
+        if n_bad:
+            worth = (1 - F.col("to_bad") / n_bad) - 10 * (1 - F.col("to_good") / n_good)
+            out = -steps.where(F.col("anomaly") >= out).agg(F.max(F.struct(worth.alias("worth"), (-F.col("anomaly")).alias("m"))).alias("s")).first().s.m
+            # between two rows the threshold stands midway
+            above = steps.where(F.col("anomaly") > out).agg(F.min("anomaly")).first()[0]
+            out = out if above is None else (out + above) / 2
+        drop_written(steps)
+    drop_written(counts)
+    return float(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
+    """Forest and threshold over all of ``docs`` (doc_id, text)."""
+    stats = written(measured(docs), "statistics")
+    forest = grow(stats)
+    return forest, cut(written(scored(stats, forest), "anomalies"), labels)
+
+
+def judged(rated: DataFrame, threshold: float) -> DataFrame:
+    return rated.select("doc_id", *BASE, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") <= threshold)).alias("kept"))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def judge(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
+    """Statistics, base_failed, anomaly and kept of every whole text."""
+    return judged(scored(measured(docs), forest), threshold)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    stats = written(measured(table(spark, sf_dir, "documents")), "statistics")
+    rated = written(scored(stats, grow(stats)), "anomalies")
+    drop_written(stats)
+    return judged(rated, cut(rated, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

@@ -630,6 +630,28 @@ def test_isolation_forest_finds_outliers():
     assert 0.4 < quality_rules.calibrate(score, q) < 0.8
 
 
+def test_rules_learn_from_all_rows(spark):
+    """Trees draw from every document, not from a bounded part, and each labelled one counts for the threshold."""
+    n = 12_000
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(n, 2)), (rng.random(n) < 0.8).astype(int)
+    x[q == 0] *= 3
+    rows = [(i, 0, *[0] * len(quality_rules.BASE), False, x[i].tobytes()) for i in range(n)]
+    stats = quality_rules.written(spark.createDataFrame(rows, quality_rules.MEASURED_SCHEMA), "statistics")
+    labels = spark.createDataFrame([(i, int(q[i]), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    forest = quality_rules.grow(stats)
+    keys = quality_rules.draw_keys(np.arange(n))
+    drawn = [np.sort(np.argsort(k)[: quality_rules.TREE_ROWS]) for k in keys.T]
+    assert len(np.unique(np.concatenate(drawn))) > 8192
+    want = quality_rules.Forest.of([x[d] for d in drawn])
+    score = want.anomaly(x)
+    assert np.array_equal(forest.anomaly(x), score)
+    rated = quality_rules.written(quality_rules.scored(stats, forest), "anomalies")
+    assert quality_rules.cut(rated, labels) == quality_rules.calibrate(score, q)
+    assert quality_rules.cut(rated, labels.where("quality = 1")) == quality_rules.calibrate(score[q == 1], q[q == 1])
+    assert quality_rules.cut(rated, labels.limit(0)) == pytest.approx(np.quantile(score, quality_rules.KEEP_SHARE))
+
+
 def test_rules_edges(spark, empty, nulls, docs, sf_dir):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.fit(empty, labels)[1] == 2.0
