@@ -331,6 +331,25 @@ def alike(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool:
     return down * both >= up * (len(x) + len(y) - both)
 
 
+MARKS = 128
+
+
+def marks(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per set (``n`` values each) the least tag of its values in each of MARKS ranges of their hashes."""
+    x = mix(values)
+    out = np.full((len(n), MARKS), 0xFFFF, np.uint16)
+    np.minimum.at(out.reshape(-1), np.repeat(np.arange(len(n)), n) * MARKS + (x >> np.uint64(57)).astype(np.int64), x.astype(np.uint16))
+    return out
+
+
+def may_be_alike(mark: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """False for pairs that surely miss the similarity: where marks of a range differ, one of the sets has a value there
+    that the other lacks, so at least as many values are in one set only, and at least as many as the sizes differ by."""
+    up, down = similar
+    both, apart = n[i] + n[j], np.maximum((mark[i] != mark[j]).sum(axis=1), np.abs(n[i] - n[j]))
+    return down * (both - apart) >= up * (both + apart)
+
+
 def _parts(t: pa.Table) -> Iterator[pa.RecordBatch]:
     for batch in t.combine_chunks().to_batches():
         yield from slices(batch, "text")
@@ -450,10 +469,16 @@ def inside_links(members: DataFrame, texts: DataFrame, sets: Sets, bins: int, ro
                     x = root[x]
                 return x
 
-            own = [x for part in slices(t, "text") for x in _split(*sets(part.column("text")))]
+            some = [sets(part.column("text")) for part in slices(t, "text")]
+            values, n = np.concatenate([x for x, _ in some]), np.concatenate([np.diff(off) for _, off in some])
+            own, mark = _split(values, np.append(0, np.cumsum(n))), marks(values, n)
             out: list[tuple[int, int]] = []
             for i, j, _ in _eligible(t, bins, rows, floor):
-                for x, y in zip(i.tolist(), j.tolist()):
+                now = np.array([find(k) for k in range(len(kinds))])[comp]
+                ok = now[i] != now[j]
+                i, j = i[ok], j[ok]
+                ok = may_be_alike(mark, n, i, j, similar)
+                for x, y in zip(i[ok].tolist(), j[ok].tolist()):
                     if find(comp[x]) != find(comp[y]) and alike(own[x], own[y], similar):
                         root[find(comp[x])] = find(comp[y])
                         out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))

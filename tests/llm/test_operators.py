@@ -316,6 +316,34 @@ def test_best_pairs_hold_no_pairs():
     assert peak < 40e6, peak
 
 
+def test_inside_links_compare_few(monkeypatch):
+    """Pairs that surely miss the similarity are never intersected; all links are found."""
+    from geocadence.llm import buckets
+
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for p in rng.choice(150, 2 if i % 10 == 0 else 16, replace=False):
+            w[p] = f"x{i}y{p}"
+        texts.append(" ".join(w))
+    column = pa.array(texts, pa.string())
+    own = buckets._split(*near_dedup._word_sets(column))
+    links = {(i, j) for j in range(60) for i in range(j) if buckets.alike(own[i], own[j], near_dedup.SIMILAR)}
+    n = np.array([len(x) for x in own])
+    i, j = np.triu_indices(60, 1)
+    may = buckets.may_be_alike(buckets.marks(np.concatenate(own), n), n, i, j, near_dedup.SIMILAR)
+    assert links and links <= set(zip(i[may].tolist(), j[may].tolist()))
+    seen, alike = [], buckets.alike
+    monkeypatch.setattr(buckets, "alike", lambda *x: seen.append(1) or alike(*x))
+    sig = np.tile(np.arange(128, dtype=np.uint16), (60, 1))
+    got = buckets.inside_links(Tasks(one_group(sig, texts)), None, near_dedup._word_sets, 128, 4, 64, near_dedup.SIMILAR)
+    joined = lambda e: buckets.least_reached(60, *np.array(sorted(e)).T).tolist()
+    assert joined({(a // 3, b // 3) for a, b in got}) == joined(links)
+    assert len(seen) < 200
+
+
 def test_recall_of_line_pairs(spark):
     """Pairs of lines planted around the threshold: each pair stands alone, so nothing else can link it."""
     rng, letters = np.random.default_rng(12), list("abcdefghijklmnopqrstuvwxyz      ")
